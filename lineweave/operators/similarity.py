@@ -31,40 +31,66 @@ def score_column(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(100.0)).when(shorter == 0, F.lit(0.0)).when(ratio < SHORT, ratio * 100).otherwise(same / longer * 100)
 
 
+#: Bytes compared in one vectorised step.
+STEP = 4 << 20
+
+
+def _by_length(templates: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length to (places, byte matrix)."""
+    sizes = np.array([len(t) for t in templates], np.int64)
+    out = {}
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        out[size] = rows, np.frombuffer(b"".join(templates[r] for r in rows), np.uint8).reshape(len(rows), size)
+    return out
+
+
+def similar_pairs(a: dict[int, tuple[np.ndarray, np.ndarray]], b: dict[int, tuple[np.ndarray, np.ndarray]], threshold: int):
+    """Yields arrays (places in a, places in b) of similar templates, for two sets by length."""
+    for la, (rows_a, x) in a.items():
+        for lb, (rows_b, y) in b.items():
+            longer, shorter = max(la, lb), min(la, lb)
+            ratio = shorter / longer if longer else 1.0
+            if ratio * 100 < threshold:
+                continue
+            if ratio < SHORT or not longer:
+                yield np.repeat(rows_a, len(rows_b)), np.tile(rows_b, len(rows_a))
+                continue
+            step = max(1, STEP // (len(rows_b) * shorter))
+            for lo in range(0, len(rows_a), step):
+                same = (x[lo : lo + step, None, :shorter] == y[None, :, :shorter]).sum(2)
+                i, j = np.nonzero(same / longer * 100 >= threshold)
+                yield rows_a[lo + i], rows_b[j]
+
+
 class Leaders:
     """Templates in order, against which batches of others are compared; the first similar one wins."""
 
     def __init__(self, ords: list[int], templates: list[bytes], threshold: int):
-        self.ords, self.templates, self.threshold = np.array(ords, np.int64), templates, threshold
-        self.sizes = np.array([len(t) for t in templates], np.int64)
+        self.ords, self.threshold = np.array(ords, np.int64), threshold
+        self.lengths = _by_length(templates)
 
     def first(self, ords: np.ndarray, templates: list[bytes]) -> np.ndarray:
         """Index of the first leader, not later than the template itself, that is similar to each template; or -1."""
-        out = np.full(len(templates), -1, np.int64)
-        sizes = np.array([len(t) for t in templates], np.int64)
-        for size in np.unique(sizes):
-            rows = np.flatnonzero(sizes == size)
-            matrix = np.frombuffer(b"".join(templates[r] for r in rows), np.uint8).reshape(len(rows), size)
-            longer, shorter = np.maximum(self.sizes, size), np.minimum(self.sizes, size)
-            ratio = np.where(longer > 0, shorter / np.maximum(longer, 1), 1.0)
-            for k in np.flatnonzero(ratio * 100 >= self.threshold):
-                open_ = out[rows] < 0
-                if not open_.any():
-                    break
-                n = int(shorter[k])
-                if ratio[k] < SHORT:
-                    hit = np.full(len(rows), True)
-                else:
-                    same = (matrix[:, :n] == np.frombuffer(self.templates[k], np.uint8, n)).sum(1)
-                    hit = same / max(int(longer[k]), 1) * 100 >= self.threshold if longer[k] else np.full(len(rows), True)
-                out[rows[open_ & hit & (self.ords[k] <= ords[rows])]] = k
-        return out
+        none = len(self.ords)
+        out = np.full(len(templates), none, np.int64)
+        for i, k in similar_pairs(_by_length(templates), self.lengths, self.threshold):
+            fits = self.ords[k] <= ords[i]
+            np.minimum.at(out, i[fits], k[fits])
+        return np.where(out == none, -1, out)
 
 
 def first_fit(ords: list[int], templates: list[bytes], threshold: int) -> Leaders:
     """The leaders among templates given in order: a template that is similar to no earlier leader leads."""
-    found = Leaders([], [], threshold)
-    for o, t in zip(ords, templates):
-        if not found.templates or found.first(np.array([o]), [t])[0] < 0:
-            found = Leaders([*found.ords, o], [*found.templates, t], threshold)
-    return found
+    lengths = _by_length(templates)
+    pairs = [np.stack(p) for p in similar_pairs(lengths, lengths, threshold)] or [np.zeros((2, 0), np.int64)]
+    i, j = np.concatenate(pairs, 1)
+    i, j = i[j < i], j[j < i]
+    order = np.lexsort((j, i))
+    i, j = i[order], j[order]
+    begins = np.searchsorted(i, np.arange(len(templates) + 1))
+    leads = np.ones(len(templates), bool)
+    for t in range(len(templates)):
+        leads[t] = not leads[j[begins[t] : begins[t + 1]]].any()
+    chosen = np.flatnonzero(leads)
+    return Leaders([ords[c] for c in chosen], [templates[c] for c in chosen], threshold)

@@ -514,4 +514,6 @@ def variable_suffix(suffix: str) -> bool:
     return suffix not in COMMON_SUFFIXES and re.search("[a-z]", suffix) is not None and re.search("[0-9]", suffix) is not None
 
 
-name = Detector(has("-"), [Pass(NAME, lambda m: f"{m[1] if m[1] in COMMON_PREFIXES else '<COMPONENT>'}-<SUFFIX>", whole("NAME"), accept=lambda m, t: variable_suffix(m[2]))])
+# Without a suffix there is nothing to find, and a long chain of short words would be searched from each of them.
+_SUFFIX = re.compile(r"-[a-z0-9]{5,}\b")
+name = Detector(lambda text: _SUFFIX.search(text) is not None, [Pass(NAME, lambda m: f"{m[1] if m[1] in COMMON_PREFIXES else '<COMPONENT>'}-<SUFFIX>", whole("NAME"), accept=lambda m, t: variable_suffix(m[2]))])

@@ -295,7 +295,7 @@ CONTEXT_PARTS = "mod_jk mod_ssl mod_rewrite mod_security mod_proxy ngx_http core
 CONTEXT_STARTS = ("mod_", "ngx_")
 CONTEXT_ENDS = ("_service", "_manager", "_client", "_server")
 
-_k8s = has(*K8S_WORDS)
+_k8s, _no_brackets = has(*K8S_WORDS), has(*NO_BRACKETS)
 _CONTEXTS = frozenset(LOG_LEVELS + LOG_COMPONENTS + SYSTEM_CONTEXTS)
 
 
@@ -314,7 +314,7 @@ def _log_chain(m: Match, text: str) -> bool:
 
 
 bracket = Detector(
-    lambda text: "[" in text and "]" in text and not any(w in text for w in NO_BRACKETS) and not _k8s(text),
+    lambda text: "[" in text and "]" in text and not _no_brackets(text) and not _k8s(text),
     [
         Pass(BRACKET_CHAIN, "<BRACKET_CONTEXT>", lambda m, seen: [("BRACKET_CONTEXT", ",".join(_chain(m)))], accept=_log_chain),
         Pass(BRACKET, "<BRACKET_CONTEXT>", lambda m, seen: [("BRACKET_CONTEXT", m[1].lower())], accept=lambda m, t: log_context(m[1])),
@@ -346,6 +346,9 @@ BOOLEANS = frozenset("true false enabled disabled on off".split())
 URL_STARTS = ("http://", "https://", "ftp://")
 
 
+_no_pairs, _arithmetic, _sql = has(*NO_PAIRS), has(*ARITHMETIC), has(*SQL_WORDS)
+
+
 def ip_like(value: str) -> bool:
     parts = value.split(".")
     if len(parts) == 4:
@@ -373,8 +376,7 @@ def _pair_key(m: Match, text: str) -> bool:
 
 
 def _no_code(text: str) -> bool:
-    upper = text.upper()
-    return not any(w in text for w in ARITHMETIC) and not any(w in upper for w in SQL_WORDS)
+    return not _arithmetic(text) and not _sql(text.upper())
 
 
 def _pair(m: Match, seen: list[Note]) -> list[Note]:
@@ -391,7 +393,7 @@ def _lower_has(words: list[str]):
 
 
 key_value = Detector(
-    lambda text: ("=" in text or ":" in text) and not any(w in text for w in NO_PAIRS),
+    lambda text: ("=" in text or ":" in text) and not _no_pairs(text),
     [
         Pass(METRIC, "<KEY_VALUE>", _pair, context=_lower_has(METRIC_WORDS), needs="="),
         Pass(SETTING, "<KEY_VALUE>", _pair, context=_lower_has(SETTING_WORDS), needs="="),
@@ -418,12 +420,15 @@ SYSTEMD_ENDS = ("_manager", "_service", "_client", "_daemon")
 SYSLOG_LEVELS = {"err": "error", "emerg": "emergency", "crit": "critical"}
 
 
+_modules, _code = has(*MODULE_MARKS), has(*CODE_WORDS)
+
+
 def _module(level: int, module: int):
     return lambda m, seen: [("LOG_WITH_MODULE", f"{m[level].lower()}:{m[module]}")]
 
 
 log_module = Detector(
-    lambda text: "[" in text and any(w in text for w in MODULE_MARKS) and not any(w in text for w in CODE_WORDS) and not _k8s(text),
+    lambda text: "[" in text and _modules(text) and not _code(text) and not _k8s(text),
     [
         Pass(APACHE, "<LOG_WITH_MODULE>", _module(1, 2), accept=lambda m, t: m[2].startswith(APACHE_MODULES), needs="mod_"),
         Pass(NGINX, lambda m: f"[{m[1]}] <LOG_WITH_MODULE>", _module(1, 2), accept=lambda m, t: m[2].startswith(NGINX_MODULES) or "module" in m[2], needs="ngx_"),
@@ -454,6 +459,7 @@ FRAMEWORK_PARTS = "spring hibernate jackson slf4j logback jersey servlet tomcat
 INFRASTRUCTURE_PARTS = "nginx apache haproxy envoy traefik consul vault nomad prometheus grafana elasticsearch logstash kibana fluentd redis memcached mongodb postgresql mysql".split()
 
 _application = has(*APPLICATION_PARTS)
+_marked, _excluded = has(*STRUCTURED_MARKS), has(*NO_STRUCTURED, *NO_STRUCTURED_K8S)
 _component = has(*APPLICATION_PARTS, *MICROSERVICE_PARTS, *FRAMEWORK_PARTS, *INFRASTRUCTURE_PARTS)
 
 
@@ -466,7 +472,7 @@ def _message(level: int, component: int):
 
 
 structured = Detector(
-    lambda text: any(w in text for w in STRUCTURED_MARKS) and not any(w in text for w in NO_STRUCTURED) and not any(w in text for w in NO_STRUCTURED_K8S),
+    lambda text: _marked(text) and not _excluded(text),
     [
         Pass(CONTAINER, '{"log": "<STRUCTURED_MESSAGE>"}', _message(1, 2), accept=lambda m, t: _application(m[2]) or m[2].endswith(APPLICATION_ENDS), needs='"log":'),
         Pass(LEVEL_FIRST, "<STRUCTURED_MESSAGE>", _message(1, 2), accept=lambda m, t: component_like(m[2]), needs='{"'),

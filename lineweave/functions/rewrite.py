@@ -15,6 +15,34 @@ Note = tuple[str, str]
 Match = re.Match[str]
 
 
+def required(pattern: re.Pattern[str]) -> tuple[str, ...]:
+    """Literals that every match of a pattern holds; checking for them first is much faster than searching in vain."""
+    try:
+        from re import _constants, _parser
+    except ImportError:  # only speed depends on it
+        return ()
+    runs: list[str] = [""]
+
+    def walk(items) -> None:
+        for op, arg in items:
+            if op is _constants.LITERAL:
+                runs[-1] += chr(arg)
+                continue
+            if op is _constants.AT:  # has no width
+                continue
+            runs.append("")
+            if op is _constants.SUBPATTERN and not arg[1]:
+                walk(arg[3])
+            elif op in (_constants.MAX_REPEAT, _constants.POSSESSIVE_REPEAT) and arg[0] >= 1:
+                walk(arg[2])
+            runs.append("")
+
+    if pattern.flags & re.IGNORECASE:
+        return ()
+    walk(_parser.parse(pattern.pattern, pattern.flags))
+    return tuple(dict.fromkeys(r for r in runs if r))
+
+
 def _nothing(match: Match, seen: list[Note]) -> list[Note]:
     return []
 
@@ -36,7 +64,8 @@ def within(n: int, put: str) -> Callable[[Match], str]:
 
 @dataclass
 class Pass:
-    """One pattern over the text. `needs` is a literal without which the pattern cannot match; it only saves time."""
+    """One pattern over the text. `needs` is a literal without which the pattern cannot match; it only saves time, as do
+    the literals that the pattern shows by itself."""
 
     pattern: re.Pattern[str]
     put: str | Callable[[Match], str]
@@ -45,9 +74,13 @@ class Pass:
     context: Callable[[str], bool] | None = None
     needs: str = ""
 
+    def __post_init__(self):
+        self.literals = (*([self.needs] if self.needs else []), *(r for r in required(self.pattern) if r != self.needs))
+
     def run(self, text: str, seen: list[Note]) -> str:
-        if self.needs and self.needs not in text:
-            return text
+        for literal in self.literals:
+            if literal not in text:
+                return text
         if self.context is not None and not self.context(text):
             return text
 
@@ -74,7 +107,11 @@ class Detector:
 
 
 def has(*words: str) -> Callable[[str], bool]:
-    return lambda text: any(w in text for w in words)
+    """Whether a text holds one of the words."""
+    if len(words) < 3:
+        return lambda text: any(w in text for w in words)
+    search = re.compile("|".join(map(re.escape, words))).search
+    return lambda text: search(text) is not None
 
 
 def number(text: str, most: int) -> int | None:

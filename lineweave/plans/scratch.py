@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -19,6 +20,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch while a scratch table is written: two workers of an executor hold some copies of it each.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Holds Arrow batches to BATCH for the jobs run inside; the session's own settings come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Tables that cut lineage: a lost executor costs a reread, never a recomputation.
 
@@ -33,7 +51,8 @@ class Scratch:
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.path}/{self.n:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # noqa: SLF001
         return out

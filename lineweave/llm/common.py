@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineweave.plans.scratch import Scratch
+
 #: Bytes of text that one vectorised step handles; longer single texts are handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -32,51 +32,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-# --- scratch tables -------------------------------------------------------------------------------
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lineweave-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Tables written in the shared folder to cut lineage: a lost executor costs a reread, never a recomputation.
-
-    Every operator call takes a folder of its own, so that calls never see each other's tables. Tables that the
-    returned DataFrame reads must stay; the others go with `drop`, the whole folder with `clear`.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/lineweave-{name}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def write(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self.n += 1
-        path = f"{self.path}/{self.n:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path  # noqa: SLF001
-        return out
-
-    def drop(self, df: DataFrame | None) -> None:
-        if df is not None and (path := getattr(df, "_scratch_path", None)):
-            self._delete(path)
-
-    def clear(self) -> None:
-        self._delete(self.path)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm  # noqa: SLF001
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
-
-
 # --- words ----------------------------------------------------------------------------------------
 
 
@@ -199,6 +154,11 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
 
 
+def repeats(keys: DataFrame, key: str) -> bool:
+    """Whether a key occurs twice; null does not count."""
+    return not keys.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over the undirected edges (a, b) of long ids.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, components, mix, only_ids, text_slices
+from .common import Scratch, Words, components, mix, only_ids, repeats, text_slices
 
 #: Registers: BANDS runs of ROWS. At similarity 0.8 a pair is missed by all bands with probability 3e-5.
 BANDS, ROWS = 26, 5
@@ -233,9 +233,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 2, num: int =
     estimate = lambda p: p.join(side("a"), "a").join(side("b"), "b").filter(close(F.col("na"), F.col("nb"))).mapInArrow(_estimator(num / den - MARGIN), "a long, b long, est double")
     likely = s.write(estimate(pairs), "likely")
 
+    twice = repeats(sketched, "id")
+
+    def one_each(df: DataFrame) -> DataFrame:
+        return df.dropDuplicates(["id"]) if twice else df
+
     def texts_of(p: DataFrame) -> DataFrame:
         ids = s.write(p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct(), "ids")
-        return s.write(only_ids(rows, ids, "id").dropDuplicates(["id"]), "texts")
+        return s.write(one_each(only_ids(rows, ids, "id")), "texts")
 
     def verify(p: DataFrame, texts: DataFrame) -> DataFrame:
         both = p.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
@@ -263,7 +268,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 2, num: int =
         clusters = components(s, marked.select(F.col("id").alias("a"), F.col("h1").alias("b")))
         members = marked.select("id", "c").distinct().join(clusters.withColumnRenamed("node", "id"), "id", "left").select("id", "c", F.coalesce("component", "id").alias("g"))
         blocked = s.write(_blocks(members), "blocks")
-        wide = only_ids(rows, blocked.select("id"), "id").dropDuplicates(["id"]).mapInArrow(_tokenizer(k), "id long, tokens array<long>").join(sketched.select("id", "sketch").dropDuplicates(["id"]), "id")
+        wide = one_each(only_ids(rows, blocked.select("id"), "id")).mapInArrow(_tokenizer(k), "id long, tokens array<long>").join(one_each(sketched.select("id", "sketch")), "id")
         wide = s.write(blocked.join(wide, "id"), "wide")
         names = blocked.groupBy("g", "block").agg(F.min("big").alias("big"))
         x, y = (names.select("g", F.col("block").alias(f"block{p}"), F.col("big").alias(f"big{p}")) for p in "xy")

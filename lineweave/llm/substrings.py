@@ -23,18 +23,19 @@ words are compared as 64-bit hashes, windows as sequences of those. Other column
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, mix, only_ids, text_slices
+from .common import Scratch, Words, mix, only_ids, repeats, text_slices
 
 W = 35
 K = 8
-#: Distinct pieces of one shard, about 190,000 words at most.
-SHARD = 4096
+#: Distinct pieces of one shard: 24,000 words, some 20 MB of automaton, at most.
+SHARD = 512
 
 _B = 0xC2B2AE3D27D4EB4F | 1
 _B_INV = pow(_B, -1, 1 << 64)
@@ -176,17 +177,34 @@ def _scan(window: int, k: int):
     return run
 
 
+def _nested(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Offsets by row, and the fields, of a column of structs in arrays; no Python object for each of them."""
+    lists = batch.column(column)
+    flat = lists.flatten()
+    return lists.offsets.to_numpy() - lists.offsets[0].as_py(), {f.name: flat.field(f.name).to_numpy() for f in flat.type}
+
+
+#: Places that one vectorised step cuts out or marks.
+STEP = 8192
+
+
 def _cut(window: int):
     """Rows (key, text, places) to the words of each place: anchor, piece, times, words."""
 
     def run(batches):
         for batch in batches:
-            places = batch.column("places").to_pylist()
+            offsets, places = _nested(batch, "places")
             for row, w in text_slices(batch.column("text"), lower=False):
-                out = [(p["anchor"], p["piece"], p["times"], w.hash[(a := w.first[d] + p["at"]) : a + p["windows"] + window - 1].view(np.int64)) for d in range(w.n_docs) for p in places[row + d]]
-                for lo in range(0, len(out), 4096):
-                    a, p, t, words = zip(*out[lo : lo + 4096])
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(p, pa.int64()), pa.array(t, pa.int64()), pa.array(words, pa.list_(pa.int64()))], ["anchor", "piece", "times", "words"])
+                lo, hi = offsets[row], offsets[row + w.n_docs]
+                doc = np.repeat(np.arange(w.n_docs), np.diff(offsets[row : row + w.n_docs + 1]))
+                for a in range(lo, hi, STEP):
+                    part = slice(a, min(a + STEP, hi))
+                    size = places["windows"][part] + window - 1
+                    ends = np.cumsum(size)
+                    start = w.first[doc[a - lo : part.stop - lo]] + places["at"][part]
+                    words = w.hash[np.repeat(start - (ends - size), size) + np.arange(ends[-1])]
+                    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(words.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(places[c][part]) for c in ("anchor", "piece", "times")), lists], ["anchor", "piece", "times", "words"])
 
     return run
 
@@ -227,27 +245,27 @@ def _remove(window: int):
 
     def run(batches):
         for batch in batches:
-            out = []
-            for key, text, spans in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "spans"))):
-                words = (text or "").encode().split()
-                edges = np.zeros(len(words) + 1, np.int32)
-                for span in spans:
-                    mask, at = span["mask"], span["at"]
-                    while mask:
-                        i = (mask & -mask).bit_length() - 1
-                        edges[at + i] += 1
-                        edges[at + i + window] -= 1
-                        mask &= mask - 1
-                gone = np.cumsum(edges[:-1]) > 0
-                out.append((key, int(gone.sum()), b" ".join(x for x, g in zip(words, gone.tolist()) if not g).decode()))
-            if out:
+            offsets, spans = _nested(batch, "spans")
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                out = []
+                for i, (key, text) in enumerate(zip(part.column("key").to_pylist(), part.column("text").to_pylist()), lo):
+                    words = (text or "").encode().split()
+                    edges = np.zeros(len(words) + 1, np.int32)
+                    at, mask = (spans[c][offsets[i] : offsets[i + 1]] for c in ("at", "mask"))
+                    for bit in range(int(mask.max()).bit_length()):
+                        first = at[(mask >> bit) & 1 == 1] + bit
+                        np.add.at(edges, first, 1)
+                        np.add.at(edges, first + window, -1)
+                    gone = np.cumsum(edges[:-1]) > 0
+                    out.append((key, int(gone.sum()), b" ".join(x for x, g in zip(words, gone.tolist()) if not g).decode()))
                 k, n, t = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(t)], ["key", "n_removed", "kept"])
 
     return run
 
 
-def _repeated(s: Scratch, rows: DataFrame, scanned: DataFrame, window: int) -> DataFrame:
+def _repeated(s: Scratch, texts_of: Callable[[DataFrame], DataFrame], scanned: DataFrame, window: int) -> DataFrame:
     """(key, spans): the repeated windows of each document that has any, as (at, mask)."""
     every = scanned.select("key", F.explode("pieces").alias("p")).select("key", "p.*")
     anchors = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("piece").alias("lo"), F.max("piece").alias("hi")).filter("n > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("one"))
@@ -256,8 +274,8 @@ def _repeated(s: Scratch, rows: DataFrame, scanned: DataFrame, window: int) -> D
     place = F.col("at").cast("long") * 64 + F.col("windows")
     unlike = met.filter(~F.col("one"))
     distinct = s.write(unlike.groupBy("anchor", "piece").agg(F.count("*").alias("times"), F.max("key").alias("key"), F.max_by(place, "key").alias("place")), "distinct")
-    places = distinct.groupBy("key").agg(F.collect_list(F.struct("anchor", "piece", "times", F.floor(F.col("place") / 64).alias("at"), F.pmod("place", F.lit(64)).alias("windows"))).alias("places"))
-    texts = only_ids(rows, s.write(distinct.select("key").distinct(), "keys"), "key").dropDuplicates(["key"])
+    places = distinct.groupBy("key").agg(F.collect_list(F.struct("anchor", "piece", "times", F.shiftright("place", 6).alias("at"), F.pmod("place", F.lit(64)).alias("windows"))).alias("places"))
+    texts = texts_of(s.write(distinct.select("key").distinct(), "keys"))
     words = s.write(texts.join(places, "key").mapInArrow(_cut(window), "anchor long, piece long, times long, words array<long>"), "words")
     large = words.groupBy("anchor").count().filter(F.col("count") > SHARD).select("anchor")
     large = s.write(large, "large")
@@ -282,11 +300,18 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = W, k: int
     ident, text = F.col(id_col), F.col(text_col)
     rows = docs.select(F.xxhash64(ident, text).alias("key"), text.alias("text"))
     scanned = s.write(rows.mapInArrow(_scan(window, k), SCANNED), "scanned")
-    spans = s.write(_repeated(s, rows, scanned, window), "spans")
-    texts = only_ids(rows, spans.select("key"), "key").dropDuplicates(["key"])
+    twice = repeats(scanned, "key")  # equal rows share a key; only then are texts sorted out by it
+
+    def texts_of(keys: DataFrame) -> DataFrame:
+        found = only_ids(rows, keys, "key")
+        return found.dropDuplicates(["key"]) if twice else found
+
+    spans = s.write(_repeated(s, texts_of, scanned, window), "spans")
+    texts = texts_of(spans.select("key"))
     cut = s.write(texts.join(spans, "key").mapInArrow(_remove(window), "key long, n_removed long, kept string"), "cut")
     ids = docs.select(ident.alias("id"), F.xxhash64(ident, text).alias("key"))
-    facts = scanned.select("key", "n_words", "digest").dropDuplicates(["key"])
+    facts = scanned.select("key", "n_words", "digest")
+    facts = facts.dropDuplicates(["key"]) if twice else facts
     out = ids.join(facts, "key").join(cut, "key", "left")
     digest = F.coalesce(F.sha2(F.col("kept").cast("binary"), 256), F.col("digest"))
     return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), digest.alias("kept_sha256"), "kept")

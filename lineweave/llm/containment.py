@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, buckets, mix, text_slices
+from .common import Scratch, buckets, fresh, mix, text_slices
 
 K, NUM, DEN = 5, 80, 100
 #: Shingles of all items of one round (8 bytes each, 32 MB).
@@ -116,8 +116,9 @@ def contained(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int = K
 def clean_of(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that contain no item."""
     s = Scratch(spark, "clean")
-    hit = s.write(contained(spark, docs, items, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("__id")).distinct(), "hits")
-    return docs.join(hit, docs[id_col] == F.col("__id"), "left_anti")
+    of = fresh(docs, "of")
+    hit = s.write(contained(spark, docs, items, id_col=id_col, text_col=text_col).select(F.col(id_col).alias(of)).distinct(), "hits")
+    return docs.join(hit, docs[id_col] == F.col(of), "left_anti")
 
 
 #: DuckDB twin of `contained` over documents and benchmark, for items of five words or more.

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, word_count
+from .common import Scratch, fresh, word_count
 
 WEIGHTS = (5, 2, 1)
 #: A target stops at so many times its source's size.
@@ -89,9 +89,10 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
 def mixed(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents that the mix takes words of, with size, source_size, target and taken beside their columns (a
     column of docs that has one of these names stays, and the new one gets the prefix mix_); of repeated ids one row."""
-    name = lambda c: f"mix_{c}" if c in docs.columns else c
-    plan = mix(spark, docs, id_col=id_col).filter("taken > 0").select(F.col(id_col).alias("__id"), *(F.col(c).alias(name(c)) for c in ("size", "source_size", "target", "taken")))
-    return docs.dropDuplicates([id_col]).join(plan.dropDuplicates(["__id"]), F.col(id_col) == F.col("__id")).drop("__id")
+    names = {c: fresh(docs, f"mix_{c}") if c in docs.columns else c for c in ("size", "source_size", "target", "taken")}
+    of = fresh(docs, "of")
+    plan = mix(spark, docs, id_col=id_col).filter("taken > 0").select(F.col(id_col).alias(of), *(F.col(c).alias(n) for c, n in names.items()))
+    return docs.dropDuplicates([id_col]).join(plan.dropDuplicates([of]), F.col(id_col) == F.col(of)).drop(of)
 
 
 #: DuckDB twin of `mix` over documents. Sources reach their stop in the order of stop / weight, so the level is the

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, components, mix, only_ids, repeats, text_slices
+from .common import Scratch, Words, components, fresh, mix, only_ids, repeats, text_slices
 
 #: Registers: BANDS runs of ROWS. At similarity 0.8 a pair is missed by all bands with probability 3e-5.
 BANDS, ROWS = 26, 5
@@ -290,8 +290,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 2, num: int =
 def one_of_each(spark: SparkSession, docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of its group of near-duplicates; all columns."""
     found = near_duplicates(spark, docs, k, id_col=id_col, text_col=text_col)
-    drop = found.filter(~F.col("kept")).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(drop, docs[id_col] == F.col("__id"), "left_anti")
+    of = fresh(docs, "of")
+    drop = found.filter(~F.col("kept")).select(F.col(id_col).alias(of)).distinct()
+    return docs.join(drop, docs[id_col] == F.col(of), "left_anti")
 
 
 #: DuckDB twin of `near_duplicates` over documents with two words, for small tables: it lists all pairs.

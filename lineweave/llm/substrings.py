@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, mix, only_ids, repeats, text_slices
+from .common import Scratch, Words, fresh, mix, only_ids, repeats, text_slices
 
 W = 35
 K = 8
@@ -319,10 +319,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = W, k: int
 
 def without_repeats(spark: SparkSession, docs: DataFrame, window: int = W, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows and columns of docs with the repeated passages removed from the text (and n_chars, if there, set anew)."""
-    cut = remove_repeats(spark, docs, window, id_col=id_col, text_col=text_col).filter("n_removed > 0").select(F.col(id_col).alias("__id"), F.col("kept").alias("__kept")).dropDuplicates(["__id"])
-    out = docs.join(cut, F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    text = F.coalesce("__kept", text_col)
-    new = {text_col: text} | ({"n_chars": F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept").cast(dict(docs.dtypes)["n_chars"]))} if "n_chars" in docs.columns else {})
+    of, kept = fresh(docs, "of"), fresh(docs, "kept")
+    cut = remove_repeats(spark, docs, window, id_col=id_col, text_col=text_col).filter("n_removed > 0").select(F.col(id_col).alias(of), F.col("kept").alias(kept)).dropDuplicates([of])
+    out = docs.join(cut, F.col(id_col).eqNullSafe(F.col(of)), "left")
+    new = {text_col: F.coalesce(kept, text_col)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
 

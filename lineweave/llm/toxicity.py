@@ -180,14 +180,11 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "do
 
 def civil(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the model does not reject; all columns. The score is taken beside the row, so nothing is joined."""
-    names = docs.columns
-    wide = docs.withColumn("__text", F.col(text_col))
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                keep = pa.array(model.scores([t or "" for t in part.column("__text").to_pylist()]) < CUT)
-                yield part.filter(keep).drop_columns(["__text"])
+                yield part.filter(pa.array(model.scores([t or "" for t in part.column(text_col).to_pylist()]) < CUT))
 
-    return wide.mapInArrow(run, docs.schema).select(*names)
+    return docs.mapInArrow(run, docs.schema)

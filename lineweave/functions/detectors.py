@@ -167,7 +167,7 @@ def network(ips: bool = True, ports: bool = True, fqdns: bool = True) -> Detecto
         Pass(IPV4_PORT, "<IP>:<PORT>", _endpoint("IPV4", ports), needs=":"),
         Pass(IPV6_PORT, "[<IP>]:<PORT>", _endpoint("IPV6", ports), needs="]:"),
         Pass(IPV4, "<IP>", _unseen("IPV4", 0), needs="."),
-        Pass(IPV6, "<IP>", group("IPV6", 0, ipv6_like), needs=":"),
+        Pass(IPV6, "<IP>", group("IPV6", 0, ipv6_like), context=lambda t: "::" in t or t.count(":") >= 6, needs=":"),
     ]
     hosts = [Pass(HOST_PORT, lambda m: f"{m[1]}:<PORT>", _unseen("PORT", 2, 65535), accept=lambda m, t: not m[1].endswith(SOURCE_ENDS), needs=":")]
     names = [Pass(FQDN, "<FQDN>", whole("IPV4"), needs=".")]

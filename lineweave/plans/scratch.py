@@ -46,7 +46,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/lineweave-{name}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.paths = 0, []
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
@@ -55,11 +55,20 @@ class Scratch:
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # noqa: SLF001
+        self.paths.append(path)
         return out
 
     def drop(self, df: DataFrame | None) -> None:
         if df is not None and (path := getattr(df, "_scratch_path", None)):
             self._delete(path)
+            self.paths.remove(path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Drops all tables but these: what a result still reads."""
+        kept = {getattr(t, "_scratch_path", None) for t in tables}
+        for path in [p for p in self.paths if p not in kept]:
+            self._delete(path)
+            self.paths.remove(path)
 
     def clear(self) -> None:
         self._delete(self.path)

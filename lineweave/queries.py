@@ -18,7 +18,7 @@ from lineweave.operators import views
 from lineweave.operators.similarity import score_column
 from lineweave.plans import render
 from lineweave.plans.fold import Fold, analyze
-from lineweave.plans.scratch import Scratch
+from lineweave.plans.scratch import Scratch, numbered
 from lineweave.sources import lines as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -357,6 +357,41 @@ def essence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir, FoldConfig(essence=True)).text().select("gid", "text")
 
 
+@query(
+    f"""{GROUPED}, vs AS (SELECT gid, string_agg(type || ':' || distinct_count || ':' || coalesce(array_to_string(samples, '|'), '') || ':' || capped::VARCHAR, ';' ORDER BY type) AS variation FROM ro GROUP BY gid)
+SELECT (row_number() OVER (ORDER BY gr.gid) - 1)::BIGINT AS id, count, template AS normalized, first_line, gr.gid AS first_line_no, last_line, last_line_no, first_seen, last_seen, coalesce(variation, '') AS variation FROM gr LEFT JOIN vs USING (gid)"""
+)
+def group_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK5 in columns: what the JSON records hold, numbered by first lines."""
+    fold = _events(spark, sf_dir, FoldConfig(output_format="json"))
+    entry = lambda e: F.concat_ws(":", e["type"], e["distinct_count"], F.array_join(e["samples"], "|"), e["capped"])
+    first, last = F.col("first"), F.col("last")
+    cols = [first["normalized"].alias("normalized"), first["line"].alias("first_line"), first["line_no"].alias("first_line_no"), last["line"].alias("last_line"), last["line_no"].alias("last_line_no")]
+    seen = [g.first_timestamp(first["tokens"]).alias("first_seen"), g.first_timestamp(last["tokens"]).alias("last_seen")]
+    return numbered(fold.scratch, fold.described, "gid", name="id").select("id", "count", *cols, *seen, F.array_join(F.transform("variation", entry), ";").alias("variation"))
+
+
+@query(f"""{GROUPED} SELECT gid, '[+' || (count - 2) || ' similar' || CASE WHEN v <> '' THEN ', varying: ' || v ELSE '' END || ']' AS marker FROM (
+  SELECT gid, count, concat_ws(', ', CASE WHEN arg_min(level, line_no) <> arg_max(level, line_no) THEN 'bracket_context' END, CASE WHEN arg_min(val, line_no) <> arg_max(val, line_no) THEN 'duration' END,
+    CASE WHEN arg_min(stamp, line_no) <> arg_max(stamp, line_no) THEN 'timestamp' END) AS v FROM al JOIN gr USING (gid) GROUP BY gid, count)""")
+def plain_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK3, SNK4: markers that only name what varies."""
+    return _events(spark, sf_dir).groups.select("gid", render.plain_marker(F.col("count") - 2, F.col("first.tokens"), F.col("last.tokens"), FoldConfig()).alias("marker"))
+
+
+@query(f"SELECT line_no, regexp_replace(line, '{ln.EMAIL}', '<EMAIL>', 'g') AS masked FROM ({src.DOC_LINES}) WHERE regexp_matches(line, '{ln.EMAIL}')")
+def email_mask_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N2, PRJ2: lines with addresses, masked by the tokens that normalization found."""
+    rows = normalized(src.doc_lines(spark, sf_dir).select("line_no", "line")).filter(F.exists("tokens", lambda t: t["type"] == "EMAIL"))
+    return rows.select("line_no", ln.masked_by(F.col("line"), F.col("tokens")).alias("masked"))
+
+
+@query(f"SELECT line_no, '<TIMESTAMP> <BRACKET_CONTEXT> <KEY_VALUE> event=' || event_type || ' value=' || val || ' props=' || props AS normalized FROM ({EV})")
+def disabled_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ5: normalization without measures."""
+    return normalized(src.event_log(spark, sf_dir), FoldConfig(disabled=frozenset({"duration"}))).select("line_no", "normalized")
+
+
 @query()
 def group_records_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK5."""

@@ -172,23 +172,25 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: every round is two aggregations and two joins over the edges, and
     the number of rounds grows with the logarithm of the longest path. Aggregations are partial, so a node with
-    many edges costs one row a task. Nothing is collected but a count and a checksum per round.
+    many edges costs one row a task; minima are written before they are joined, so that Spark may split the edges of such
+    a node over tasks. Nothing is collected but a count and a checksum per round.
     """
     now = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     seen = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        new = scratch.write(small, "stars")
-        scratch.drop(now)
-        now = new
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
-        if tuple(state) == seen:
+        least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = scratch.write(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        parent = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), "parent")
+        small = large.join(parent, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        after = scratch.write(small.filter("u <> v").distinct(), "stars")
+        for done in (now, least, large, parent):
+            scratch.drop(done)
+        now = after
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
+        if state == seen:
             break
-        seen = tuple(state)
+        seen = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 

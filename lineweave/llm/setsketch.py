@@ -224,6 +224,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 2, num: int =
 
     flip = F.lit(_FLIP)
     hubs = bands.groupBy("band").agg(F.count("*").alias("members"), F.min("id").alias("h1"), F.max("id").alias("h2"), F.min(F.col("id").bitwiseXOR(flip)).bitwiseXOR(flip).alias("h3")).filter("members > 1")
+    hubs = s.write(hubs, "hubs")  # written first, so that the members of a large bucket can be split over tasks
     met = s.write(bands.join(hubs, "band"), "met")
     pairs = met.select("id", F.explode(F.array_distinct(F.array("h1", "h2", "h3"))).alias("hub")).filter("id <> hub")
     pairs = s.write(pairs.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct(), "pairs")
@@ -262,7 +263,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 2, num: int =
 
     # Members of one bucket that are still apart are compared in blocks of their cluster of buckets.
     marked = met.filter("members > 2").join(comps.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "h1", F.coalesce("component", "id").alias("c"))
+    marked = s.write(marked, "marked")
     split = marked.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
+    split = s.write(split, "split")
     marked = s.write(marked.join(split, "band", "left_semi").select("id", "h1", "c").distinct(), "apart")
     if not marked.isEmpty():
         clusters = components(s, marked.select(F.col("id").alias("a"), F.col("h1").alias("b")))

@@ -269,6 +269,7 @@ def _repeated(s: Scratch, texts_of: Callable[[DataFrame], DataFrame], scanned: D
     """(key, spans): the repeated windows of each document that has any, as (at, mask)."""
     every = scanned.select("key", F.explode("pieces").alias("p")).select("key", "p.*")
     anchors = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("piece").alias("lo"), F.max("piece").alias("hi")).filter("n > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("one"))
+    anchors = s.write(anchors, "anchors")  # written first, so that the pieces of a very common anchor can be split over tasks
     met = s.write(every.join(anchors, "anchor"), "met")
 
     place = F.col("at").cast("long") * 64 + F.col("windows")

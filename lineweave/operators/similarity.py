@@ -31,36 +31,67 @@ def score_column(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(100.0)).when(shorter == 0, F.lit(0.0)).when(ratio < SHORT, ratio * 100).otherwise(same / longer * 100)
 
 
-#: Bytes compared in one vectorised step.
-STEP = 4 << 20
-
-
-def _by_length(templates: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Length to (places, byte matrix)."""
-    sizes = np.array([len(t) for t in templates], np.int64)
-    out = {}
-    for size in np.unique(sizes).tolist():
-        rows = np.flatnonzero(sizes == size)
-        out[size] = rows, np.frombuffer(b"".join(templates[r] for r in rows), np.uint8).reshape(len(rows), size)
-    return out
-
-
-def similar_pairs(a: dict[int, tuple[np.ndarray, np.ndarray]], b: dict[int, tuple[np.ndarray, np.ndarray]], threshold: int):
-    """Yields arrays (places in a, places in b) of similar templates, for two sets by length."""
-    for la, (rows_a, x) in a.items():
-        for lb, (rows_b, y) in b.items():
-            longer, shorter = max(la, lb), min(la, lb)
-            ratio = shorter / longer if longer else 1.0
-            if ratio * 100 < threshold:
+#: Pairs of one vectorised step, and the ratio of lengths within a bucket.
+STEP, SPREAD = 1 << 17, 1.15
+
+_LOW, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
+
+
+class Bucket:
+    """Templates of about one length: places, sizes, and bytes, eight to a word, as (words, templates).
+
+    Bytes past the end are zero, and zero bytes of a template are put as 255, which UTF-8 does not have; so all bytes
+    that the longer of two templates has beyond the shorter one count as different, as they should.
+    """
+
+    def __init__(self, places: np.ndarray, templates: list[bytes]):
+        self.places = places
+        self.sizes = np.array([len(t) for t in templates], np.int64)
+        matrix = np.zeros((len(templates), -(-int(self.sizes.max()) // 8) * 8), np.uint8)
+        for row, t in zip(matrix, templates):
+            row[: len(t)] = np.frombuffer(t.replace(b"\0", b"\xff"), np.uint8)
+        self.words = np.ascontiguousarray(matrix.view(np.uint64).T)
+
+
+def bucketed(templates: list[bytes]) -> list[Bucket]:
+    places: dict[int, list[int]] = {}
+    for i, t in enumerate(templates):
+        places.setdefault(int(np.log(len(t) + 1) / np.log(SPREAD)), []).append(i)
+    return [Bucket(np.array(p, np.int64), [templates[i] for i in p]) for _, p in sorted(places.items())]
+
+
+def _similar(x: Bucket, rows: slice, y: Bucket, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of some of x and all of y that are similar."""
+    a, b = x.sizes[rows, None], y.sizes[None, :]
+    longer, shorter = np.maximum(a, b), np.minimum(a, b)
+    ratio = shorter / np.maximum(longer, 1)
+    need = threshold * longer // 100
+    for _ in range(2):  # the least number of equal bytes whose score, as it is rounded, reaches the threshold
+        need += (need / np.maximum(longer, 1) * 100 < threshold) & (longer > 0)
+    most = np.where((ratio < SHORT) & (longer > 0), -1, longer - need)
+    count = np.zeros(most.shape, np.int32)
+    none = np.zeros(1, np.uint64)
+    for k in range(max(len(x.words), len(y.words))):
+        p = x.words[k, rows] if k < len(x.words) else none
+        q = y.words[k] if k < len(y.words) else none
+        d = p[:, None] ^ q[None, :]
+        count += np.bitwise_count((((d & _LOW) + _LOW) | d) & _HIGH)  # the high bit of every byte that is not zero
+        if k % 4 == 3 and (count > most).all():
+            break
+    return np.nonzero((count <= most) | (ratio < SHORT) & (longer > 0) & (ratio * 100 >= threshold))
+
+
+def similar_pairs(a: list[Bucket], b: list[Bucket], threshold: int):
+    """Yields arrays (places in a, places in b) of similar templates."""
+    for x in a:
+        for y in b:
+            low, high = max(x.sizes.min(), y.sizes.min()), min(x.sizes.max(), y.sizes.max())
+            if low and high / low * 100 < threshold:
                 continue
-            if ratio < SHORT or not longer:
-                yield np.repeat(rows_a, len(rows_b)), np.tile(rows_b, len(rows_a))
-                continue
-            step = max(1, STEP // (len(rows_b) * shorter))
-            for lo in range(0, len(rows_a), step):
-                same = (x[lo : lo + step, None, :shorter] == y[None, :, :shorter]).sum(2)
-                i, j = np.nonzero(same / longer * 100 >= threshold)
-                yield rows_a[lo + i], rows_b[j]
+            step = max(1, STEP // len(y.places))
+            for lo in range(0, len(x.places), step):
+                i, j = _similar(x, slice(lo, lo + step), y, threshold)
+                yield x.places[lo + i], y.places[j]
 
 
 class Leaders:
@@ -68,13 +99,13 @@ class Leaders:
 
     def __init__(self, ords: list[int], templates: list[bytes], threshold: int):
         self.ords, self.threshold = np.array(ords, np.int64), threshold
-        self.lengths = _by_length(templates)
+        self.buckets = bucketed(templates)
 
     def first(self, ords: np.ndarray, templates: list[bytes]) -> np.ndarray:
         """Index of the first leader, not later than the template itself, that is similar to each template; or -1."""
         none = len(self.ords)
         out = np.full(len(templates), none, np.int64)
-        for i, k in similar_pairs(_by_length(templates), self.lengths, self.threshold):
+        for i, k in similar_pairs(bucketed(templates), self.buckets, self.threshold):
             fits = self.ords[k] <= ords[i]
             np.minimum.at(out, i[fits], k[fits])
         return np.where(out == none, -1, out)
@@ -82,8 +113,8 @@ class Leaders:
 
 def first_fit(ords: list[int], templates: list[bytes], threshold: int) -> Leaders:
     """The leaders among templates given in order: a template that is similar to no earlier leader leads."""
-    lengths = _by_length(templates)
-    pairs = [np.stack(p) for p in similar_pairs(lengths, lengths, threshold)] or [np.zeros((2, 0), np.int64)]
+    buckets = bucketed(templates)
+    pairs = [np.stack(p) for p in similar_pairs(buckets, buckets, threshold)] or [np.zeros((2, 0), np.int64)]
     i, j = np.concatenate(pairs, 1)
     i, j = i[j < i], j[j < i]
     order = np.lexsort((j, i))

@@ -146,6 +146,8 @@ def word_count(col) -> F.Column:
 
 #: Rows of 8-byte ids up to which a side is broadcast (16 MB); beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Edges of one node up to which a single task may join them (16 bytes each).
+SPLIT = 1_000_000
 
 
 def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -170,27 +172,28 @@ def repeats(keys: DataFrame, key: str) -> bool:
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over the undirected edges (a, b) of long ids.
 
-    Alternating large-star and small-star rounds: every round is two aggregations and two joins over the edges, and
-    the number of rounds grows with the logarithm of the longest path. Aggregations are partial, so a node with
-    many edges costs one row a task; minima are written before they are joined, so that Spark may split the edges of such
-    a node over tasks. Nothing is collected but a count and a checksum per round.
+    Alternating large-star and small-star rounds until only stars are left: every round is two aggregations and two
+    joins over the edges and one written table, and the number of rounds grows with the logarithm of the longest path.
+    Aggregations are partial, so a node with many edges costs one row a task. Where a node has more than SPLIT edges,
+    minima are written before they are joined, so that Spark may split that node's edges over tasks. Nothing is
+    collected but a number per round.
     """
     now = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    seen = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-        large = scratch.write(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        parent = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), "parent")
+        most = both.groupBy("u").count().agg(F.max("count")).first()[0] or 0
+        keep = scratch.write if most > SPLIT else lambda df, name: df
+        least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = keep(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        parent = keep(large.groupBy("u").agg(F.min("v").alias("m")), "parent")
         small = large.join(parent, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = scratch.write(small.filter("u <> v").distinct(), "stars")
         for done in (now, least, large, parent):
             scratch.drop(done)
         now = after
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
-        if state == seen:
+        # Only stars are left when no node has two parents and no parent has one.
+        if now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and now.groupBy("u").count().filter("count > 1").isEmpty():
             break
-        seen = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 

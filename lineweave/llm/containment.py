@@ -110,6 +110,7 @@ def contained(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int = K
         part = prepared.filter(F.pmod(F.xxhash64("item", "tokens"), F.lit(rounds)) == r).orderBy("item").collect()  # about index_tokens shingles
         index = Index([(x.item, x.width, np.array(x.tokens, np.int64).view(np.uint64)) for x in part], num, den)
         found = found.union(rows.mapInArrow(_searcher(spark.sparkContext.broadcast(index)), schema))
+    s.keep()
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 

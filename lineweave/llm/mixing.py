@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lineweave.plans.scratch import numbered
+
 from .common import Scratch, fresh, word_count
 
 WEIGHTS = (5, 2, 1)
@@ -27,17 +29,7 @@ RANGE_ROWS = 8192
 BROADCAST_SOURCES = 100_000
 
 
-def _numbered(s: Scratch, sources: DataFrame) -> DataFrame:
-    """Adds n, the 0-based place of a source by code point, null last: range-sorted, then offset by partition."""
-    order = [F.col("source").isNull(), F.col("source")]
-    dealt = s.write(sources.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "sources")
-    parts = dealt.groupBy("part").agg(F.count("*").alias("rows"))
-    offsets = parts.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    local = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    return dealt.withColumn("local", local).join(F.broadcast(offsets), "part").withColumn("n", F.col("local") + F.col("before")).drop("part", "local", "before")
-
-
-def level(sources: DataFrame, most: int) -> tuple[float, int]:
+def level(sources: DataFrame, most: int) -> float:
     """The water level: words per unit of weight of the sources that stay below `most` times their size.
 
     Every round is one aggregate of scalars: sources that the level takes beyond their stop are fixed there, and
@@ -49,7 +41,7 @@ def level(sources: DataFrame, most: int) -> tuple[float, int]:
         full = F.col("source_size") * most < F.lit(now) * F.col("weight")
         n, fixed, weight = sources.agg(F.count_if(full), F.sum(F.when(full, F.col("source_size") * most)), F.sum(F.when(~full, F.col("weight")))).first()
         if n == cut or not weight:
-            return now, total
+            return now
         cut, now = n, (total - (fixed or 0)) / weight
 
 
@@ -61,10 +53,12 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
     sized = s.write(docs.select(ident.alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")), "sized")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("n") % len(weights) + 1).cast("int"))
-    sources = s.write(_numbered(s, totals).withColumn("weight", weight), "weighed")
-    height, _ = level(sources, most)
+    places = numbered(s, totals, F.col("source").isNull(), "source")
+    weighed = s.write(places.withColumn("weight", weight), "weighed")
+    s.keep(sized, weighed)
+    height = level(weighed, most)
     target = F.least(F.lit(height) * F.col("weight"), (F.col("source_size") * most).cast("double"))
-    sources = sources.select(F.col("source").alias("of"), "source_size", "rows", target.alias("target"))
+    sources = weighed.select(F.col("source").alias("of"), "source_size", "rows", target.alias("target"))
     if sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         sources = F.broadcast(sources)
 

@@ -217,7 +217,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 2, num: int =
     s = Scratch(spark, "near")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = s.write(rows.mapInArrow(_sketcher(k), SKETCHED), "sketched")
-    classes = s.write(sketched.filter("n > 0 and id is not null").groupBy("ha", "hb").agg(F.min("id").alias("rep")), "classes")
+    classes = sketched.filter("n > 0 and id is not null").groupBy("ha", "hb").agg(F.min("id").alias("rep"))
     reps = sketched.join(classes.select(F.col("rep").alias("id"), "ha", "hb"), ["id", "ha", "hb"], "left_semi").select("id", "n", "sketch")
     bands = s.write(reps.mapInArrow(_bander, "band long, id long, n long"), "bands")
     close = lambda x, y: den * F.least(x, y) >= num * F.greatest(x, y)
@@ -240,7 +240,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 2, num: int =
         return df.dropDuplicates(["id"]) if twice else df
 
     def texts_of(p: DataFrame) -> DataFrame:
-        ids = s.write(p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct(), "ids")
+        ids = p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct()
         return s.write(one_each(only_ids(rows, ids, "id")), "texts")
 
     def verify(p: DataFrame, texts: DataFrame) -> DataFrame:
@@ -265,7 +265,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 2, num: int =
     marked = met.filter("members > 2").join(comps.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "h1", F.coalesce("component", "id").alias("c"))
     marked = s.write(marked, "marked")
     split = marked.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
-    split = s.write(split, "split")
     marked = s.write(marked.join(split, "band", "left_semi").select("id", "h1", "c").distinct(), "apart")
     if not marked.isEmpty():
         clusters = components(s, marked.select(F.col("id").alias("a"), F.col("h1").alias("b")))
@@ -276,14 +275,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 2, num: int =
         names = blocked.groupBy("g", "block").agg(F.min("big").alias("big"))
         x, y = (names.select("g", F.col("block").alias(f"block{p}"), F.col("big").alias(f"big{p}")) for p in "xy")
         meets = x.join(y, "g").filter((F.col("blockx") <= F.col("blocky")) & ~(F.col("bigx").isNotNull() & F.col("bigx").eqNullSafe(F.col("bigy"))))
-        meets = s.write(meets.withColumn("meet", F.xxhash64("g", "blockx", "blocky")), "meets")
+        meets = meets.withColumn("meet", F.xxhash64("g", "blockx", "blocky"))
         ends = meets.select("meet", "g", F.explode(F.array_distinct(F.array("blockx", "blocky"))).alias("block"), "blockx")
         found = wide.join(ends, ["g", "block"]).select("meet", (F.col("block") == F.col("blockx")).alias("left"), "id", "c", "sketch", "tokens")
         found = found.groupBy("meet").applyInArrow(_block_meeting(num, den), "a long, b long")
         links = s.write(links.union(found), "links")
         comps = components(s, links)
 
-    named = classes.join(comps, classes.rep == comps.node, "left").select("ha", "hb", F.coalesce("component", "rep").alias("component"))
+    named = s.write(classes.join(comps, classes.rep == comps.node, "left").select("ha", "hb", F.coalesce("component", "rep").alias("component")), "named")
+    s.keep(sketched, named)
     out = sketched.select("id", "n", "ha", "hb").join(named, ["ha", "hb"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)

@@ -276,10 +276,9 @@ def _repeated(s: Scratch, texts_of: Callable[[DataFrame], DataFrame], scanned: D
     unlike = met.filter(~F.col("one"))
     distinct = s.write(unlike.groupBy("anchor", "piece").agg(F.count("*").alias("times"), F.max("key").alias("key"), F.max_by(place, "key").alias("place")), "distinct")
     places = distinct.groupBy("key").agg(F.collect_list(F.struct("anchor", "piece", "times", F.shiftright("place", 6).alias("at"), F.pmod("place", F.lit(64)).alias("windows"))).alias("places"))
-    texts = texts_of(s.write(distinct.select("key").distinct(), "keys"))
+    texts = texts_of(distinct.select("key").distinct())
     words = s.write(texts.join(places, "key").mapInArrow(_cut(window), "anchor long, piece long, times long, words array<long>"), "words")
-    large = words.groupBy("anchor").count().filter(F.col("count") > SHARD).select("anchor")
-    large = s.write(large, "large")
+    large = s.write(words.groupBy("anchor").count().filter(F.col("count") > SHARD).select("anchor"), "large")
     shards = words.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
     masks = shards.mapInArrow(_match(window), "anchor long, piece long, mask long")
     if not large.isEmpty():
@@ -288,7 +287,7 @@ def _repeated(s: Scratch, texts_of: Callable[[DataFrame], DataFrame], scanned: D
         by_window = s.write(by_window.select("anchor", "piece", "times", "i", F.xxhash64("run").alias("w1"), F.xxhash64(F.lit(1), "run").alias("w2")), "windows")
         twice = by_window.groupBy("anchor", "w1", "w2").agg(F.sum("times").alias("all")).filter(F.col("all") > 1).drop("all")
         masks = masks.unionByName(by_window.join(twice, ["anchor", "w1", "w2"]).groupBy("anchor", "piece").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask")))
-    masks = s.write(masks.filter("mask <> 0"), "masks")
+    masks = masks.filter("mask <> 0")
     spans = met.filter("one").select("key", "at", (F.expr("shiftleft(1L, windows) - 1")).alias("mask"))
     spans = spans.unionByName(unlike.join(masks, ["anchor", "piece"]).select("key", "at", "mask"))
     return spans.groupBy("key").agg(F.collect_set(F.struct("at", "mask")).alias("spans"))
@@ -309,7 +308,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = W, k: int
 
     spans = s.write(_repeated(s, texts_of, scanned, window), "spans")
     texts = texts_of(spans.select("key"))
-    cut = s.write(texts.join(spans, "key").mapInArrow(_remove(window), "key long, n_removed long, kept string"), "cut")
+    cut = texts.join(spans, "key").mapInArrow(_remove(window), "key long, n_removed long, kept string")
+    s.keep(scanned, spans)
     ids = docs.select(ident.alias("id"), F.xxhash64(ident, text).alias("key"))
     facts = scanned.select("key", "n_words", "digest")
     facts = facts.dropDuplicates(["key"]) if twice else facts

@@ -148,6 +148,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     sizes = dict(picked.groupBy("label").count().collect())
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
+        s.keep()
         share = min(max(pos / (pos + neg), 1e-6), 1 - 1e-6) if pos + neg else 0.5
         return Model({}, intercept=float(np.log(share / (1 - share))))
     counts = picked.mapInArrow(_count_terms, "term string, label int, n long").groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("q"))
@@ -156,6 +157,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     model = Model(_shorter([(r.term, r.odds) for r in found.collect()]))
     x = np.array(picked.mapInArrow(_features(model), "total double, rate double, label int").collect(), dtype=float)
     model.weights, model.intercept = logistic(x[:, :2], x[:, 2])
+    s.keep()
     return model
 
 

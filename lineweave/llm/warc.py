@@ -143,7 +143,9 @@ def write_bundles(spark: SparkSession, pages: DataFrame, folder: str, s: Scratch
     first = rows.filter(F.octet_length(body) >= least).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     first = s.write(first, "first")  # written first, so that the rows of a very common payload can be split over tasks
     named = rows.join(first, "key", "left").withColumn("first_id", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
-    return s.write(named.select("page_id", "url", "html", "first_id").mapInArrow(_writer(folder), "page_id long, file string, frame int, offset long"), "index")
+    index = s.write(named.select("page_id", "url", "html", "first_id").mapInArrow(_writer(folder), "page_id long, file string, frame int, offset long"), "index")
+    s.keep(index)
+    return index
 
 
 def _number(urn: str | None) -> int | None:

@@ -94,6 +94,19 @@ TOKENS = "array<struct<type: string, value: string>>"
 _TOKEN = pa.list_(pa.struct([("type", pa.string()), ("value", pa.string())]))
 
 
+#: Plans that a scan's partitions do not pass through unchanged; asking such a plan for its partitions would run it.
+_MOVED = re.compile(r"\b(?:Join|Aggregate|Window|Sort|Repartition|RepartitionByExpression|Distinct|Limit)\b")
+
+
+def spread(lines: DataFrame) -> DataFrame:
+    """Lines of a scan with fewer partitions than there are cores (a single small file), dealt to all cores: the patterns
+    cost far more than moving a line. Larger inputs have partitions enough and are not shuffled."""
+    if lines.isStreaming or _MOVED.search(lines._jdf.queryExecution().optimizedPlan().toString()):  # noqa: SLF001
+        return lines
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    return lines.repartition(cores) if lines.rdd.getNumPartitions() < cores else lines
+
+
 def normalized(lines: DataFrame, config: FoldConfig = FoldConfig(), column: str = "line") -> DataFrame:
     """Adds normalized and tokens. Lines stream through in Arrow batches; within a batch equal lines are done once."""
 
@@ -110,4 +123,4 @@ def normalized(lines: DataFrame, config: FoldConfig = FoldConfig(), column: str
 
     names = lines.columns
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in lines.schema)}, normalized string, tokens {TOKENS}"
-    return lines.withColumn("__text", F.col(column)).mapInArrow(run, schema)
+    return spread(lines).withColumn("__text", F.col(column)).mapInArrow(run, schema)

@@ -141,6 +141,30 @@ def test_near_vectors(spark, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got) and len(got) == len(data)
 
 
+@pytest.mark.parametrize("whole", [projection.WHOLE, 0])
+def test_near_vectors_of_a_dense_topic(spark, monkeypatch, whole):
+    # A label with a cloud whose vectors are at cosine 0.965 to each other, far denser than a window, among others.
+    monkeypatch.setattr(projection, "WHOLE", whole)
+    monkeypatch.setattr(projection, "BLOCK", 100)
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    topic = unit(unit(rng.standard_normal((1, 64))) * np.sqrt(0.965) + unit(rng.standard_normal((1500, 64))) * np.sqrt(0.035))
+    x = np.float32(np.r_[topic, unit(rng.standard_normal((6000, 64)))])
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in projection.near_vectors(spark, frame).collect()}
+    y = unit(x.astype(np.float64))
+    links = {i: np.flatnonzero(y[:1500] @ y[i] >= 0.98) for i in range(1500)}
+    root = {}
+    for i in range(len(x)):
+        todo = [] if i in root else [i]
+        while todo:
+            if (j := todo.pop()) not in root:
+                root[j] = i
+                todo += links[j].tolist() if j in links else []
+    assert got == {i: (max(0, len(links.get(i, [])) - 1), root[i]) for i in range(len(x))}
+    assert sum(n > 0 for n, _ in got.values()) > 50
+
+
 def test_near_vectors_odd_rows(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert projection.near_vectors(spark, spark.createDataFrame([], schema)).collect() == []

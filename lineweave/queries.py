@@ -444,14 +444,18 @@ def streaming_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def streaming_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR1 to STR3: groups pushed out of the open ones, over the lines of all documents, one log for each language."""
+    """STR1 to STR3: groups pushed out of the open ones, and at the end those still open, over the lines of all documents,
+    one log for each language."""
     from lineweave.streaming.fold import OUT, fold_stream
 
     s = Scratch(spark, "stream")
     lines = s.write(src.doc_lines(spark, sf_dir).select(F.col("lang").alias("log"), "line_no", "line"), "lines")
     stream = spark.readStream.schema(lines.schema).parquet(lines._scratch_path)  # noqa: SLF001
-    run = fold_stream(stream).writeStream.outputMode("append").format("parquet").option("path", f"{s.path}/out").option("checkpointLocation", f"{s.path}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
+    write = fold_stream(stream).writeStream.outputMode("append").format("parquet").option("path", f"{s.path}/out").option("checkpointLocation", f"{s.path}/state").trigger(availableNow=True)
+    write.start().awaitTermination()
+    ends = lines.select("log", F.lit(0).cast("long").alias("line_no"), F.lit(None).cast("string").alias("line")).distinct()
+    ends.write.mode("append").parquet(lines._scratch_path)  # noqa: SLF001
+    write.start().awaitTermination()
     return spark.read.schema(OUT).parquet(f"{s.path}/out")
 
 

@@ -1,11 +1,12 @@
 """Sources, native expressions against the Python detectors, streams, and the command line."""
 
 import io
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from lineweave import cli
+from lineweave import cli, queries
 from lineweave.config import FoldConfig
 from lineweave.functions import detectors as d
 from lineweave.functions import native
@@ -13,6 +14,8 @@ from lineweave.operators import lines as ln
 from lineweave.sources import lines as src
 from lineweave.streaming import fold as streaming
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_read_files(spark, tmp_path, capsys):
     a, b = tmp_path / "a.log", tmp_path / "b.log"
@@ -115,3 +118,12 @@ def test_command_line(spark, tmp_path):
     assert "### Entry 1 (Folded)" in run(spark, tmp_path, rows, "--format", "markdown")[1]
     assert run(spark, tmp_path, rows, "--min-collapse", "1")[0] == 2 and run(spark, tmp_path, rows, "--fail-on-pattern", "(")[0] == 2
     assert cli.fit_budget(24) == 20 and cli.fit_budget(6) is None and "--top" in cli.completions()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="tables are not there")
+def test_stream_emits_every_line(spark):
+    """Every line of every language is in one group, also in a language that never has too many groups open."""
+    got = queries.streaming_fold(spark, SF).groupBy("log").agg(F.sum("count").alias("lines"), F.countDistinct("gid").alias("gids"), F.count("*").alias("groups")).collect()
+    want = src.doc_lines(spark, SF).groupBy("lang").count().collect()
+    assert {r.log: r.lines for r in got} == {r.lang: r["count"] for r in want}
+    assert all(r.gids == r.groups for r in got)

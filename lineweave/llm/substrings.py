@@ -296,6 +296,15 @@ def _repeated(s: Scratch, texts_of: Callable[[DataFrame], DataFrame], scanned: D
 def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = W, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: <id_col>, n_words, n_removed, kept_sha256, and kept, the remaining words joined by one
     space, or null where nothing is removed. The windows are judged on the input, not on what is left."""
+    ids, facts, cut = _parts(spark, docs, window, k, id_col, text_col)
+    out = ids.join(facts, "key").join(cut, "key", "left")
+    digest = F.coalesce(F.sha2(F.col("kept").cast("binary"), 256), F.col("digest"))
+    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), digest.alias("kept_sha256"), "kept")
+
+
+def _parts(spark: SparkSession, docs: DataFrame, window: int, k: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """id and key of every row; n_words and digest of every key; n_removed and kept of the keys that lose words. The key
+    is a hash of id and text, so that rows without an id or with the same one are told apart by their texts."""
     s = Scratch(spark, "substrings")
     ident, text = F.col(id_col), F.col(text_col)
     rows = docs.select(F.xxhash64(ident, text).alias("key"), text.alias("text"))
@@ -312,17 +321,15 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = W, k: int
     s.keep(scanned, spans)
     ids = docs.select(ident.alias("id"), F.xxhash64(ident, text).alias("key"))
     facts = scanned.select("key", "n_words", "digest")
-    facts = facts.dropDuplicates(["key"]) if twice else facts
-    out = ids.join(facts, "key").join(cut, "key", "left")
-    digest = F.coalesce(F.sha2(F.col("kept").cast("binary"), 256), F.col("digest"))
-    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), digest.alias("kept_sha256"), "kept")
+    return ids, facts.dropDuplicates(["key"]) if twice else facts, cut
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, window: int = W, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows and columns of docs with the repeated passages removed from the text (and n_chars, if there, set anew)."""
+    """The rows and columns of docs with the repeated passages removed from the text (and n_chars, if there, set anew).
+    A cut text goes to the rows of its id and text, so rows without an id or with the same one keep their own texts."""
     of, kept = fresh(docs, "of"), fresh(docs, "kept")
-    cut = remove_repeats(spark, docs, window, id_col=id_col, text_col=text_col).filter("n_removed > 0").select(F.col(id_col).alias(of), F.col("kept").alias(kept)).dropDuplicates([of])
-    out = docs.join(cut, F.col(id_col).eqNullSafe(F.col(of)), "left")
+    cut = _parts(spark, docs, window, K, id_col, text_col)[2].filter("n_removed > 0").select(F.col("key").alias(of), F.col("kept").alias(kept))
+    out = docs.join(cut, F.xxhash64(id_col, text_col) == F.col(of), "left")
     new = {text_col: F.coalesce(kept, text_col)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast(dict(docs.dtypes)["n_chars"]))

@@ -184,6 +184,15 @@ def test_remove_repeats_odd_rows(spark):
     assert [(r.text, r.n_chars) for r in out] == [("tail", 4), ("", 0), ("same  text", 10)]
 
 
+def test_without_repeats_keeps_rows_of_one_id_apart(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, long + " one"), (None, "clean text"), (None, None), (5, long + " two"), (5, "other  text"), (5, long + " two"), (6, long + " three")]
+    docs = table(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = collections.Counter((r.doc_id, r.text, r.n_chars) for r in substrings.without_repeats(spark, docs).collect())
+    # The two equal rows of id 5 repeat each other as a whole.
+    assert got == collections.Counter([(None, "one", 3), (None, "clean text", 10), (None, None, None), (5, "", 0), (5, "", 0), (5, "other  text", 11), (6, "three", 5)])
+
+
 def test_automaton_counts_windows():
     rng = random.Random(4)
     texts = [[rng.randint(0, 2) for _ in range(rng.randint(5, 40))] for _ in range(30)]

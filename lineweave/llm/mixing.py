@@ -47,10 +47,16 @@ def level(sources: DataFrame, most: int) -> float:
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: <id_col>, source, size, source_size, target, taken."""
+    return _mix(spark, docs, weights, most, seed, id_col, text_col, source_col).withColumnRenamed("id", id_col)
+
+
+def _mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...], most: int, seed: str, id_col: str, text_col: str, source_col: str, carry: bool = False) -> DataFrame:
+    """id, source, size, source_size, target, taken; with carry, also row, the document's columns."""
     s = Scratch(spark, "mix")
     ident = F.col(id_col)
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))).cast("binary"))
-    sized = s.write(docs.select(ident.alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")), "sized")
+    columns = [ident.alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")]
+    sized = s.write(docs.select(*columns), "sized")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("n") % len(weights) + 1).cast("int"))
     places = numbered(s, totals, F.col("source").isNull(), "source")
@@ -64,10 +70,12 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
 
     # The first 12 hex digits of a key as a share of all keys, times the number of the source's ranges.
     share = F.conv(F.substring("key", 1, 12), 16, 10).cast("long") / F.lit(float(16**12))
-    ranged = sized.join(sources, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("range", F.floor(share * F.ceil(F.col("rows") / RANGE_ROWS)))
+    dealt = lambda rows: rows.join(sources, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("range", F.floor(share * F.ceil(F.col("rows") / RANGE_ROWS)))
+    ranged = dealt(sized)
+    wide = dealt(docs.select(*columns, F.struct(*(docs[c] for c in docs.columns)).alias("row"))) if carry else ranged
     group = [F.col("source"), F.col("range")]
     before = Window.partitionBy(*group).orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = ranged.withColumn("inside", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    inside = wide.withColumn("inside", F.coalesce(F.sum("size").over(before), F.lit(0)))
     sums = ranged.groupBy(*group).agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("source").alias("of"), F.col("range").alias("at"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
@@ -77,16 +85,16 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("offset") - F.col("inside")))
-    return placed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken"))
+    return placed.select("id", "source", "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken"), *["row"] * carry)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents that the mix takes words of, with size, source_size, target and taken beside their columns (a
-    column of docs that has one of these names stays, and the new one gets the prefix mix_); of repeated ids one row."""
+    column of docs that has one of these names stays, and the new one gets the prefix mix_). The columns go through the
+    mix beside the counts, so rows without an id or with the same one stay, each with what is taken of it."""
     names = {c: fresh(docs, f"mix_{c}") if c in docs.columns else c for c in ("size", "source_size", "target", "taken")}
-    of = fresh(docs, "of")
-    plan = mix(spark, docs, id_col=id_col).filter("taken > 0").select(F.col(id_col).alias(of), *(F.col(c).alias(n) for c, n in names.items()))
-    return docs.dropDuplicates([id_col]).join(plan.dropDuplicates([of]), F.col(id_col) == F.col(of)).drop(of)
+    plan = _mix(spark, docs, WEIGHTS, MOST, SEED, id_col, "text", "source", carry=True).filter("taken > 0")
+    return plan.select("row.*", *(F.col(c).alias(n) for c, n in names.items()))
 
 
 #: DuckDB twin of `mix` over documents. Sources reach their stop in the order of stop / weight, so the level is the

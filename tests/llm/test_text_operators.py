@@ -299,6 +299,21 @@ def test_mix_odd_rows(spark):
     assert [r.taken for r in mixing.mix(spark, table(spark, [None, ""])).collect()] == [0, 0]
 
 
+def test_mixed_keeps_every_row_that_is_taken(spark):
+    rng = random.Random(4)
+    texts = corpus(13, 60, vocabulary(5)) + ["a b", "a b"]
+    ids = [rng.choice([None, 1, 2, i + 10]) for i in range(60)] + [None, None]
+    docs = table(spark, texts, ids, [rng.choice(["s", "t", None]) for _ in texts])
+    plan = mixing.mix(spark, docs).collect()
+    got = mixing.mixed(spark, docs).collect()
+    assert collections.Counter((r.doc_id, r.source, len(words(r.text)), r.mix_taken) for r in got) == collections.Counter((r.doc_id, r.source, r.size, r.taken) for r in plan if r.taken)
+    assert collections.Counter((r.doc_id, r.text, r.source) for r in got) <= collections.Counter((r.doc_id, r.text, r.source) for r in docs.collect())
+    total = collections.Counter()
+    for r in got:
+        total[r.source, r.target] += r.mix_taken
+    assert len(total) == 3 and all(abs(n - target) <= 0.5 for (_, target), n in total.items())
+
+
 def labelled(seed, n, bad, good):
     rng = random.Random(seed)
     texts, labels = [], []

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, buckets, fresh, mix, text_slices
+from .common import Scratch, buckets, mix, text_slices
 
 K, NUM, DEN = 5, 80, 100
 #: Shingles of all items of one round (8 bytes each, 32 MB).
@@ -67,28 +67,33 @@ class Index:
             self.parts.setdefault(width, []).append((min(self.need[i] for _, i in found), hashes[order], owner[order], table))
 
 
+def _matches(index: Index, texts: pa.Array):
+    """Yields lists of (row, item, shingles, shared ones) over slices of texts."""
+    for row, w in text_slices(texts, lower=True, bare=True):
+        out: list[tuple[int, int, int, int]] = []
+        for width, parts in index.parts.items():
+            hashes, ok = w.grams(width)
+            sizes = np.maximum(w.counts() - width + 1, 0)
+            for need, keys, owner, table in parts:
+                pos = np.flatnonzero(table[hashes >> np.uint64(44)] & ok)
+                pos = pos[sizes[w.doc[pos]] >= need]
+                lo, hi = np.searchsorted(keys, hashes[pos], "left"), np.searchsorted(keys, hashes[pos], "right")
+                pairs = {(int(w.doc[p]), int(i)) for p, a, b in zip(pos, lo, hi) for i in owner[a:b]}
+                sets: dict[int, np.ndarray] = {}
+                for d, i in sorted(pairs):
+                    if d not in sets:
+                        sets = {d: np.unique(hashes[w.first[d] : w.first[d] + sizes[d]])}
+                    item, _, tokens = index.items[i]
+                    shared_n = len(np.intersect1d(tokens, sets[d], assume_unique=True))
+                    if shared_n >= index.need[i]:
+                        out.append((row + d, item, len(tokens), shared_n))
+        yield out
+
+
 def _searcher(shared):
     def run(batches):
-        index: Index = shared.value
         for batch in batches:
-            for row, w in text_slices(batch.column("text"), lower=True, bare=True):
-                out: list[tuple[int, int, int, int]] = []
-                for width, parts in index.parts.items():
-                    hashes, ok = w.grams(width)
-                    sizes = np.maximum(w.counts() - width + 1, 0)
-                    for need, keys, owner, table in parts:
-                        pos = np.flatnonzero(table[hashes >> np.uint64(44)] & ok)
-                        pos = pos[sizes[w.doc[pos]] >= need]
-                        lo, hi = np.searchsorted(keys, hashes[pos], "left"), np.searchsorted(keys, hashes[pos], "right")
-                        pairs = {(int(w.doc[p]), int(i)) for p, a, b in zip(pos, lo, hi) for i in owner[a:b]}
-                        sets: dict[int, np.ndarray] = {}
-                        for d, i in sorted(pairs):
-                            if d not in sets:
-                                sets = {d: np.unique(hashes[w.first[d] : w.first[d] + sizes[d]])}
-                            item, _, tokens = index.items[i]
-                            shared_n = len(np.intersect1d(tokens, sets[d], assume_unique=True))
-                            if shared_n >= index.need[i]:
-                                out.append((row + d, item, len(tokens), shared_n))
+            for out in _matches(shared.value, batch.column("text")):
                 if out:
                     at, item, n, m = map(list, zip(*out))
                     yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(item, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["id", "item", "n_shingles", "n_shared"])
@@ -96,30 +101,55 @@ def _searcher(shared):
     return run
 
 
+def _cleaner(shared, text_col: str):
+    """The rows of a batch that match nothing."""
+
+    def run(batches):
+        for batch in batches:
+            clean = np.ones(batch.num_rows, dtype=bool)
+            for out in _matches(shared.value, batch.column(text_col)):
+                clean[[row for row, *_ in out]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def _rounds(spark: SparkSession, s: Scratch, items: DataFrame, k: int, num: int, den: int, item_col: str, item_text: str, index_tokens: int):
+    """Yields the broadcast indexes of the items, of about index_tokens shingles each."""
+    prepared = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).mapInArrow(_item_rows(k), "item long, width int, tokens array<long>")
+    prepared = s.write(prepared.filter("width > 0"), "items")
+    rounds = buckets(prepared.agg(F.sum(F.size("tokens"))).first()[0] or 0, index_tokens)
+    for r in range(rounds):
+        part = prepared.filter(F.pmod(F.xxhash64("item", "tokens"), F.lit(rounds)) == r).orderBy("item").collect()  # about index_tokens shingles
+        index = Index([(x.item, x.width, np.array(x.tokens, np.int64).view(np.uint64)) for x in part], num, den)
+        yield spark.sparkContext.broadcast(index)
+
+
 def contained(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int = K, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", index_tokens: int = INDEX_TOKENS) -> DataFrame:
     """One row per document and item with den * |item ∩ document| >= num * |item| shingles:
     <id_col>, <item_col>, n_shingles (of the item), n_shared, containment."""
     s = Scratch(spark, "containment")
-    prepared = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).mapInArrow(_item_rows(k), "item long, width int, tokens array<long>")
-    prepared = s.write(prepared.filter("width > 0"), "items")
-    rounds = buckets(prepared.agg(F.sum(F.size("tokens"))).first()[0] or 0, index_tokens)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, item long, n_shingles long, n_shared long"
     found = spark.createDataFrame([], schema)
-    for r in range(rounds):
-        part = prepared.filter(F.pmod(F.xxhash64("item", "tokens"), F.lit(rounds)) == r).orderBy("item").collect()  # about index_tokens shingles
-        index = Index([(x.item, x.width, np.array(x.tokens, np.int64).view(np.uint64)) for x in part], num, den)
-        found = found.union(rows.mapInArrow(_searcher(spark.sparkContext.broadcast(index)), schema))
+    for index in _rounds(spark, s, items, k, num, den, item_col, item_text, index_tokens):
+        found = found.union(rows.mapInArrow(_searcher(index), schema))
     s.keep()
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
-def clean_of(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that contain no item."""
+def clean_of(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_tokens: int = INDEX_TOKENS) -> DataFrame:
+    """The rows of docs that contain no item; all columns. It is decided beside the row, so ids do not matter. Between
+    two rounds the rows are written, so that a task holds one index at a time."""
     s = Scratch(spark, "clean")
-    of = fresh(docs, "of")
-    hit = s.write(contained(spark, docs, items, id_col=id_col, text_col=text_col).select(F.col(id_col).alias(of)).distinct(), "hits")
-    return docs.join(hit, docs[id_col] == F.col(of), "left_anti")
+    held = None
+    for index in _rounds(spark, s, items, K, NUM, DEN, "item_id", "text", index_tokens):
+        if held is not None:
+            before, docs = docs, s.write(held, "clean")
+            s.drop(before)
+        held = docs.mapInArrow(_cleaner(index, text_col), docs.schema)
+    s.keep(docs)
+    return held
 
 
 #: DuckDB twin of `contained` over documents and benchmark, for items of five words or more.

@@ -247,6 +247,14 @@ def test_contained(spark, tokens):
     assert containment.contained(spark, table(spark, []), frame).collect() == [] and containment.contained(spark, table(spark, ["a"]), frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("tokens", [4_000_000, 3])
+def test_clean_of_decides_by_row(spark, tokens):
+    items = spark.createDataFrame([(0, "one two three four five six"), (1, "red orange yellow green blue indigo")], "item_id long, text string")
+    rows = [(None, "x One, two three four five six y"), (None, "clean"), (None, None), (3, "red orange yellow green blue indigo"), (3, "clean too"), (4, "fine")]
+    got = containment.clean_of(spark, table(spark, [t for _, t in rows], [i for i, _ in rows]), items, index_tokens=tokens)
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter([(None, "clean"), (None, None), (3, "clean too"), (4, "fine")])
+
+
 def brute_mix(rows, weights=(5, 2, 1), most=3):
     size = collections.Counter()
     for s, t in rows:

@@ -1,14 +1,17 @@
 """Mixing sources to target weights, with every source cut at its exact budget of words.
 
 Each document gets a hash-random key. Within a source, keys are dealt into equal key ranges of about RANGE_ROWS
-documents and sorted there; range totals give each range its offset, so the prefix sum of a document's words is the
-range's offset plus a running sum inside the range. No task holds a whole source, and a source with a third of all
-rows has a third of all ranges.
+documents. Range totals, summed up in the order of ranges, tell in which range a source's budget ends; only that range is
+sorted, and its prefix sums find the document at the cut. All documents before it, in the order of keys, are taken whole,
+those behind it not, so that the last step is a projection beside the small table of sources: no task holds a whole
+source, and texts are neither sorted nor shuffled.
 
 Defined cases: a null or empty text has size 0 and takes nothing; a null source is a source of its own and comes
-last; rows without an id take their key from their text; equal keys are ordered by id and size, so repeated rows are
-interchangeable; an empty table gives an empty result; a source without words has target 0. A document at the cut
-is taken in part: `taken` counts its words, repeats included.
+last; rows without an id take their key from their text; equal keys are ordered by id, size and a hash of the text, and
+rows equal in all of these are interchangeable, so only how many of them are taken is defined; a very long text is
+counted in one task, without a list of its words; an empty table gives an empty result; a source without words has
+target 0; other columns are ignored, and `mixed` keeps those whose names clash. A document at the cut is taken in part:
+`taken` counts its words, repeats included.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
 RANGE_ROWS = 8192
-#: Source rows up to which the table of sources is broadcast (about 100 bytes each).
-BROADCAST_SOURCES = 100_000
+#: Source rows up to which the table of sources is broadcast (about 400 bytes each as Spark holds them, 20 MB).
+BROADCAST_SOURCES = 50_000
 
 
 def level(sources: DataFrame, most: int) -> float:
@@ -53,39 +56,51 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
 def _mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...], most: int, seed: str, id_col: str, text_col: str, source_col: str, carry: bool = False) -> DataFrame:
     """id, source, size, source_size, target, taken; with carry, also row, the document's columns."""
     s = Scratch(spark, "mix")
-    ident = F.col(id_col)
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))).cast("binary"))
-    columns = [ident.alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")]
+    ident, text = F.col(id_col), F.col(text_col)
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))).cast("binary"))
+    columns = [ident.alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), key.alias("key"), F.xxhash64(text).alias("own")]
+    place = F.struct("key", "id", "size", "own")
     sized = s.write(docs.select(*columns), "sized")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("n") % len(weights) + 1).cast("int"))
-    places = numbered(s, totals, F.col("source").isNull(), "source")
-    weighed = s.write(places.withColumn("weight", weight), "weighed")
-    s.keep(sized, weighed)
-    height = level(weighed, most)
-    target = F.least(F.lit(height) * F.col("weight"), (F.col("source_size") * most).cast("double"))
+    weighed = s.write(numbered(s, totals, F.col("source").isNull(), "source").withColumn("weight", weight), "weighed")
+    target = F.least(F.lit(level(weighed, most)) * F.col("weight"), (F.col("source_size") * most).cast("double"))
+    budget = F.least(F.round("target").cast("long"), F.col("source_size") * most)
     sources = weighed.select(F.col("source").alias("of"), "source_size", "rows", target.alias("target"))
-    if sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        sources = F.broadcast(sources)
+    sources = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"))
+    sources = sources.withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
+    few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    beside = lambda rows, table: rows.join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
-    # The first 12 hex digits of a key as a share of all keys, times the number of the source's ranges.
+    # The range in which the rest of a budget ends, then the place in it; equal places count as one.
     share = F.conv(F.substring("key", 1, 12), 16, 10).cast("long") / F.lit(float(16**12))
-    dealt = lambda rows: rows.join(sources, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("range", F.floor(share * F.ceil(F.col("rows") / RANGE_ROWS)))
-    ranged = dealt(sized)
-    wide = dealt(docs.select(*columns, F.struct(*(docs[c] for c in docs.columns)).alias("row"))) if carry else ranged
-    group = [F.col("source"), F.col("range")]
-    before = Window.partitionBy(*group).orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = wide.withColumn("inside", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    sums = ranged.groupBy(*group).agg(F.sum("size").alias("words"))
+    ranged = beside(sized, sources.select("of", "rows", "rest")).withColumn("range", F.floor(share * F.ceil(F.col("rows") / RANGE_ROWS)))
+    sums = ranged.groupBy("source", "rest", "range").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("source").alias("of"), F.col("range").alias("at"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset"))
-    placed = inside.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
-
-    budget = F.least(F.round("target").cast("long"), F.col("source_size") * most)
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    rest = budget - epochs * F.col("source_size")
-    cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("offset") - F.col("inside")))
-    return placed.select("id", "source", "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken"), *["row"] * carry)
+    sums = sums.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+    ends = sums.filter("offset <= rest and rest < offset + words").select(F.col("source").alias("of"), F.col("range").alias("at"), "offset")
+    inside = beside(ranged, s.write(ends, "ends")).filter("range = at").groupBy("source", "rest", "offset", place.alias("place")).agg(F.count("*").alias("copies"))
+    before = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("left", F.col("rest") - F.col("offset") - F.coalesce(F.sum(F.col("place.size") * F.col("copies")).over(before), F.lit(0)))
+    edge = inside.filter(F.col("left").between(0, F.col("place.size") * F.col("copies") - 1)).select(F.col("source").alias("cut"), F.col("place").alias("edge"), "copies", "left")
+    plan = s.write(sources.drop("rows", "rest").join(edge, F.col("of").eqNullSafe(F.col("cut")), "left").drop("cut"), "plan")
+
+    rows = docs.select(*columns, F.struct(*(docs[c] for c in docs.columns)).alias("row")) if carry else sized
+    placed = beside(rows, plan)
+    extra = F.when(place < F.col("edge"), F.col("size")).when(place.eqNullSafe(F.col("edge")), F.least("size", "left")).otherwise(0)
+    tied = F.coalesce(place.eqNullSafe(F.col("edge")) & (F.col("copies") > 1), F.lit(False))
+    keep = [sized, plan]
+    if not plan.filter("copies > 1").isEmpty():
+        # Copies at the cut are numbered: by the count of their own task, and of the tasks before.
+        copies = s.write(placed.filter(tied).withColumn("n", F.monotonically_increasing_id()), "copies")
+        tasks = copies.groupBy(copies["source"].alias("of"), F.shiftright("n", 33).alias("task")).agg(F.min("n").alias("least"), F.count("*").alias("rows"))
+        tasks = tasks.withColumn("first", F.coalesce(F.sum("rows").over(Window.partitionBy("of").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        copies = copies.join(F.broadcast(tasks), F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("n", 33) == F.col("task")))  # a row for each task
+        copies = copies.withColumn("left", F.greatest(F.lit(0), F.col("left") - (F.col("n") - F.col("least") + F.col("first")) * F.col("size")))
+        placed = placed.filter(~tied).unionByName(copies.select(*placed.columns))
+        keep.append(copies)
+    s.keep(*keep)
+    return placed.select("id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"), *["row"] * carry)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -23,9 +24,10 @@ _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B,
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
-_P = 0x9E3779B97F4A7C55 | 1
-_P_INV = pow(_P, -1, 1 << 64)
-_Q = 0xD6E8FEB86659FD93
+#: Odd multipliers of the words of a run, one for each place, so that no structure of the run cancels out.
+_PLACES = np.random.default_rng(20240601).integers(0, 1 << 64, 128, dtype=np.uint64) | np.uint64(1)
+#: Bytes of the longest word that is hashed eight bytes at a time; longer ones go through BLAKE2b.
+_LONG = 64
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,21 +44,42 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.table = np.uint64(base), np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> np.ndarray:
-        if len(self.table) < n:
-            t = np.full(max(n, SLICE_BYTES + 1), self.base, dtype=np.uint64)
-            t[0] = 1
-            self.table = np.cumprod(t, dtype=np.uint64)
-        return self.table[:n]
-
-
-_POWERS, _INVERSES = _Powers(_P), _Powers(_P_INV)
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges. Words of up to seven bytes are mapped one to one; longer ones are mixed eight bytes at
+    a time, so that no combination of bytes cancels another, and very long ones are BLAKE2b digests."""
+    size = end - start
+    octets = np.lib.stride_tricks.as_strided(padded := np.r_[data, np.zeros(8, np.uint8)], (len(padded) - 7, 8), (1, 1))
+
+    def chunk(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The eight bytes from a place as a number; those past the end of the word are zero."""
+        found = octets[at].view("<u8").ravel().astype(np.uint64)
+        return found & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (8 * (8 - np.minimum(left, 8))).astype(np.uint64))
+
+    out = chunk(start, np.minimum(size, 7)) if len(start) else np.zeros(0, np.uint64)
+    out = mix(out | np.minimum(size, 8).astype(np.uint64) << np.uint64(56))
+    rest = np.flatnonzero(size > 7)
+    state, at = mix(size[rest].astype(np.uint64) ^ np.uint64(0xA0761D6478BD642F)), 0
+    while len(rest):
+        state = mix(state ^ chunk(start[rest] + at, size[rest] - at)) + np.uint64(0x9E3779B97F4A7C15)
+        out[rest] = state
+        at += 8
+        more = (size[rest] > at) & (size[rest] <= _LONG)
+        rest, state = rest[more], state[more]
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def run_hashes(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words, at most 128 each: words[first[i]:first[i] + size[i]]."""
+    out = size.astype(np.uint64)
+    for lo in range(0, len(first), 4096):
+        a, n = first[lo : lo + 4096], size[lo : lo + 4096]
+        places = np.arange(n.max())
+        inside = places < n[:, None]
+        part = words[np.where(inside, a[:, None] + places, 0)] * _PLACES[places]
+        out[lo : lo + 4096] += np.where(inside, part, np.uint64(0)).sum(1, dtype=np.uint64)
+    return mix(out)
 
 
 class Words:
@@ -80,10 +103,7 @@ class Words:
         self.doc = np.searchsorted(offsets, self.start, side="right") - 1
         #: first[d]:first[d + 1] are the words of document d
         self.first = np.searchsorted(self.doc, np.arange(self.n_docs + 1))
-        body = (_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(body * _POWERS.upto(len(data)), out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * _INVERSES.upto(len(data) + 1)[self.start])
+        self.hash = word_hashes(_LOWER[data] if lower else data, self.start, self.end)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -94,10 +114,9 @@ class Words:
         out = np.zeros(n, dtype=np.uint64)
         ok = np.zeros(n, dtype=bool)
         if n >= k:
-            acc = self.hash[: n - k + 1].copy()
+            acc = self.hash[: n - k + 1] * _PLACES[0]
             for j in range(1, k):
-                acc *= np.uint64(_Q)
-                acc += self.hash[j : n - k + 1 + j]
+                acc += self.hash[j : n - k + 1 + j] * _PLACES[j]
             out[: n - k + 1] = mix(acc)
             ok[: n - k + 1] = self.doc[: n - k + 1] == self.doc[k - 1 :]
         return out, ok
@@ -114,10 +133,7 @@ class Words:
 
 def whole_hash(words: np.ndarray) -> np.uint64:
     """Of a whole sequence that is shorter than a shingle; salted by its length so that it equals no shingle."""
-    acc = np.array([len(words)], dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
-    for w in words:
-        acc = acc * np.uint64(_Q) + w
-    return mix(acc)[0]
+    return mix(run_hashes(words, np.zeros(1, np.int64), np.array([len(words)])) ^ np.uint64(0xA0761D6478BD642F))[0]
 
 
 def text_slices(texts: pa.Array, lower: bool, size: int = SLICE_BYTES, bare: bool = False):
@@ -144,10 +160,11 @@ def word_count(col) -> F.Column:
 
 # --- joins and components -------------------------------------------------------------------------
 
-#: Rows of 8-byte ids up to which a side is broadcast (16 MB); beyond it the join shuffles.
-BROADCAST_IDS = 2_000_000
-#: Edges of one node up to which a single task may join them (16 bytes each).
-SPLIT = 1_000_000
+#: Rows of ids up to which a side is broadcast, beyond which the join shuffles: 25 MB, at the 100 bytes or less that Spark
+#: holds for a key of two numbers.
+BROADCAST_IDS = 250_000
+#: Edges of one node up to which a single task may join them (1.6 MB).
+SPLIT = 100_000
 
 
 def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:

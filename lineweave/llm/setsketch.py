@@ -7,7 +7,9 @@ likelihood of the registers estimates their similarity; the estimate's survivors
 
 Defined cases: null and empty texts have no shingles and link with nothing; a text with fewer words than a shingle
 is one shingle of its whole sequence; rows whose id is null link with nothing (component null, kept true); rows that
-repeat an id are one document. Other columns are ignored, whatever their names.
+repeat an id are one document; a very long text is sketched whole, in one task, in memory of some 50 bytes a word; an
+empty table gives an empty result; other columns are ignored, whatever their names. `one_of_each` goes by rows and not
+by ids: of equal rows one stays, and rows without an id or with the same one are told apart.
 """
 
 from __future__ import annotations
@@ -168,9 +170,11 @@ def _block_meeting(num: int, den: int):
         linked: dict[tuple[int, int], tuple[int, int]] = {}
         for i in xs:
             same = (regs[ys] == regs[i]).sum(1)
-            near = (same >= (num / den - MARGIN) * M) & (comp[ys] != comp[i]) & (den * np.minimum(n[ys], n[i]) >= num * np.maximum(n[ys], n[i]))
+            near = ys[(same >= (num / den - MARGIN) * M) & (comp[ys] != comp[i]) & (den * np.minimum(n[ys], n[i]) >= num * np.maximum(n[ys], n[i]))]
+            if len(near):
+                near = near[joint_jaccard(np.broadcast_to(regs[i], (len(near), M)), regs[near], np.full(len(near), n[i], float), n[near].astype(float)) >= num / den - MARGIN]
             mine = flat[offsets[i] : offsets[i + 1]]
-            for j in ys[near]:
+            for j in near:
                 if (ids[i], comp[j]) in linked:
                     continue
                 common = len(np.intersect1d(mine, flat[offsets[j] : offsets[j + 1]], assume_unique=True))
@@ -212,7 +216,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 2, num: int =
     representative. Within a bucket nobody meets everybody: first all members meet three hubs (the smallest, the
     largest and a scrambled smallest id), and the best-estimated pairs are verified and contracted. Members of one
     bucket that are then still in different components, and only those, are compared block against block, where two
-    blocks of one component never meet and only links come out, so no link is lost and no pairs are listed.
+    blocks of one component or without a common bucket never meet and only links come out, so no link is lost and no
+    pairs are listed.
     """
     s = Scratch(spark, "near")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -265,16 +270,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 2, num: int =
     marked = met.filter("members > 2").join(comps.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "h1", F.coalesce("component", "id").alias("c"))
     marked = s.write(marked, "marked")
     split = marked.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
-    marked = s.write(marked.join(split, "band", "left_semi").select("id", "h1", "c").distinct(), "apart")
+    marked = s.write(marked.join(split, "band", "left_semi"), "apart")
     if not marked.isEmpty():
-        clusters = components(s, marked.select(F.col("id").alias("a"), F.col("h1").alias("b")))
+        clusters = components(s, marked.select(F.col("id").alias("a"), F.col("h1").alias("b")).distinct())
         members = marked.select("id", "c").distinct().join(clusters.withColumnRenamed("node", "id"), "id", "left").select("id", "c", F.coalesce("component", "id").alias("g"))
         blocked = s.write(_blocks(members), "blocks")
         wide = one_each(only_ids(rows, blocked.select("id"), "id")).mapInArrow(_tokenizer(k), "id long, tokens array<long>").join(one_each(sketched.select("id", "sketch")), "id")
         wide = s.write(blocked.join(wide, "id"), "wide")
-        names = blocked.groupBy("g", "block").agg(F.min("big").alias("big"))
-        x, y = (names.select("g", F.col("block").alias(f"block{p}"), F.col("big").alias(f"big{p}")) for p in "xy")
-        meets = x.join(y, "g").filter((F.col("blockx") <= F.col("blocky")) & ~(F.col("bigx").isNotNull() & F.col("bigx").eqNullSafe(F.col("bigy"))))
+        there = s.write(marked.select("band", "id").join(blocked, "id").select("band", "g", "block", "big").distinct(), "there")
+        x, y = (there.select("band", "g", F.col("block").alias(f"block{p}"), F.col("big").alias(f"big{p}")) for p in "xy")
+        meets = x.join(y, ["band", "g"]).filter((F.col("blockx") <= F.col("blocky")) & ~(F.col("bigx").isNotNull() & F.col("bigx").eqNullSafe(F.col("bigy"))))
+        meets = meets.select("g", "blockx", "blocky").distinct()
         meets = meets.withColumn("meet", F.xxhash64("g", "blockx", "blocky"))
         ends = meets.select("meet", "g", F.explode(F.array_distinct(F.array("blockx", "blocky"))).alias("block"), "blockx")
         found = wide.join(ends, ["g", "block"]).select("meet", (F.col("block") == F.col("blockx")).alias("left"), "id", "c", "sketch", "tokens")
@@ -291,11 +297,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 2, num: int =
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its group of near-duplicates; all columns."""
-    found = near_duplicates(spark, docs, k, id_col=id_col, text_col=text_col)
-    of = fresh(docs, "of")
-    drop = found.filter(~F.col("kept")).select(F.col(id_col).alias(of)).distinct()
-    return docs.join(drop, docs[id_col] == F.col(of), "left_anti")
+    """One row of each group of near-duplicates, that with the smallest id (of equal ids, and without any, any one of
+    them), and all rows that link with nothing; all columns. Rows are numbered and written first, so that ids need
+    neither be there nor be unique."""
+    s = Scratch(spark, "one")
+    row = fresh(docs, "row")
+    rows = s.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = s.write(near_duplicates(spark, rows.select(row, text_col), k, id_col=row, text_col=text_col).select(F.col(row).alias("at"), F.col("component_id").alias("group")), "found")
+    shared = found.filter("at <> group").select("group").distinct()
+    members = found.join(shared, "group", "left_semi").join(rows.select(F.col(row).alias("at"), F.col(id_col).alias("id")), "at")
+    best = members.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("best"))
+    drop = s.write(members.join(best, "group").filter(F.col("at") != F.col("best.at")).select(F.col("at").alias("of")), "drop")
+    s.keep(rows, drop)
+    return rows.join(drop, rows[row] == drop["of"], "left_anti").drop(row)
 
 
 #: DuckDB twin of `near_duplicates` over documents with two words, for small tables: it lists all pairs.

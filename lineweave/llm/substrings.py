@@ -16,8 +16,10 @@ bound, so shards travel by shuffle to the pieces that they can match, and nothin
 document keys.
 
 Defined cases: null, empty and short texts (fewer than W words) lose nothing; a null text has no words, and its digest
-is that of the empty text; repeated rows are different documents, so all their windows repeat, whatever their ids;
-words are compared as 64-bit hashes, windows as sequences of those. Other columns are ignored.
+is that of the empty text; repeated rows are different documents, so all their windows repeat, whatever their ids; a very long text
+is worked on whole, in one task, in memory of some 50 bytes for each of its words; other columns are ignored, whatever
+their names. Words are compared as 64-bit hashes (one to one for words of up to seven bytes), windows as sequences of
+those, pieces by the hash of their words under one anchor, and rows by 128 bits of their id and text.
 """
 
 from __future__ import annotations
@@ -27,18 +29,22 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, fresh, mix, only_ids, repeats, text_slices
+from .common import Scratch, Words, fresh, only_ids, repeats, run_hashes, text_slices
 
 W = 35
 K = 8
 #: Distinct pieces of one shard: 24,000 words, some 20 MB of automaton, at most.
 SHARD = 512
 
-_B = 0xC2B2AE3D27D4EB4F | 1
-_B_INV = pow(_B, -1, 1 << 64)
+#: What tells rows apart: two hashes of id and text.
+KEY = "struct<a: bigint, b: bigint>"
+
+
+def key_of(ident: str, text: str) -> Column:
+    return F.struct(F.xxhash64(ident, text).alias("a"), F.xxhash64(F.lit(1), ident, text).alias("b"))
 
 
 class Automaton:
@@ -100,12 +106,6 @@ class Automaton:
         return out
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n + 1, _B, dtype=np.uint64), np.full(n + 1, _B_INV, dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
 def _least(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each `width` consecutive values."""
     out, have = x, 1
@@ -134,10 +134,7 @@ def pieces(w: Words, window: int, k: int) -> tuple[np.ndarray, ...]:
     new = np.r_[True, (at[1:] != at[:-1] + 1) | (place[at[1:]] != place[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]])]
     first = at[new]
     count = np.diff(np.r_[np.flatnonzero(new), len(at)])
-    up, down = _powers(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(w.hash * up[:n], out=sums[1:])
-    piece = mix((sums[first + count + window - 1] - sums[first]) * down[first] + count.astype(np.uint64))
+    piece = run_hashes(w.hash, first, count + window - 1)
     return doc[first], anchor[first], piece, first - w.first[doc[first]], count
 
 
@@ -160,7 +157,7 @@ def joined(text: str | None) -> bytes:
     return b" ".join((text or "").encode().split())
 
 
-SCANNED = "key long, n_words long, digest string, pieces array<struct<anchor: long, piece: long, at: int, windows: int>>"
+SCANNED = f"key {KEY}, n_words long, digest string, pieces array<struct<anchor: long, piece: long, at: int, windows: int>>"
 
 
 def _scan(window: int, k: int):
@@ -249,7 +246,7 @@ def _remove(window: int):
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 out = []
-                for i, (key, text) in enumerate(zip(part.column("key").to_pylist(), part.column("text").to_pylist()), lo):
+                for i, text in enumerate(part.column("text").to_pylist(), lo):
                     words = (text or "").encode().split()
                     edges = np.zeros(len(words) + 1, np.int32)
                     at, mask = (spans[c][offsets[i] : offsets[i + 1]] for c in ("at", "mask"))
@@ -258,9 +255,9 @@ def _remove(window: int):
                         np.add.at(edges, first, 1)
                         np.add.at(edges, first + window, -1)
                     gone = np.cumsum(edges[:-1]) > 0
-                    out.append((key, int(gone.sum()), b" ".join(x for x, g in zip(words, gone.tolist()) if not g).decode()))
-                k, n, t = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(t)], ["key", "n_removed", "kept"])
+                    out.append((int(gone.sum()), b" ".join(x for x, g in zip(words, gone.tolist()) if not g).decode()))
+                n, t = zip(*out)
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(n, pa.int64()), pa.array(t)], ["key", "n_removed", "kept"])
 
     return run
 
@@ -304,10 +301,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = W, k: int
 
 def _parts(spark: SparkSession, docs: DataFrame, window: int, k: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """id and key of every row; n_words and digest of every key; n_removed and kept of the keys that lose words. The key
-    is a hash of id and text, so that rows without an id or with the same one are told apart by their texts."""
+    is of id and text, so that rows without an id or with the same one are told apart by their texts."""
+    if 2 * window - k > 128:
+        raise ValueError("a piece may have 128 words at most")
     s = Scratch(spark, "substrings")
-    ident, text = F.col(id_col), F.col(text_col)
-    rows = docs.select(F.xxhash64(ident, text).alias("key"), text.alias("text"))
+    rows = docs.select(key_of(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     scanned = s.write(rows.mapInArrow(_scan(window, k), SCANNED), "scanned")
     twice = repeats(scanned, "key")  # equal rows share a key; only then are texts sorted out by it
 
@@ -317,9 +315,9 @@ def _parts(spark: SparkSession, docs: DataFrame, window: int, k: int, id_col: st
 
     spans = s.write(_repeated(s, texts_of, scanned, window), "spans")
     texts = texts_of(spans.select("key"))
-    cut = texts.join(spans, "key").mapInArrow(_remove(window), "key long, n_removed long, kept string")
+    cut = texts.join(spans, "key").mapInArrow(_remove(window), f"key {KEY}, n_removed long, kept string")
     s.keep(scanned, spans)
-    ids = docs.select(ident.alias("id"), F.xxhash64(ident, text).alias("key"))
+    ids = docs.select(F.col(id_col).alias("id"), key_of(id_col, text_col).alias("key"))
     facts = scanned.select("key", "n_words", "digest")
     return ids, facts.dropDuplicates(["key"]) if twice else facts, cut
 
@@ -329,7 +327,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, window: int = W, id_co
     A cut text goes to the rows of its id and text, so rows without an id or with the same one keep their own texts."""
     of, kept = fresh(docs, "of"), fresh(docs, "kept")
     cut = _parts(spark, docs, window, K, id_col, text_col)[2].filter("n_removed > 0").select(F.col("key").alias(of), F.col("kept").alias(kept))
-    out = docs.join(cut, F.xxhash64(id_col, text_col) == F.col(of), "left")
+    out = docs.join(cut, key_of(id_col, text_col) == F.col(of), "left")
     new = {text_col: F.coalesce(kept, text_col)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast(dict(docs.dtypes)["n_chars"]))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 from lineweave.llm import containment, licences, mixing, quality, setsketch, substrings, toxicity
-from lineweave.llm.common import components, text_slices
+from lineweave.llm.common import components, run_hashes, text_slices
 from lineweave.plans.scratch import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,6 +60,39 @@ def corpus(seed, n, vocab, lo=5, hi=120):
     return out
 
 
+def thue_morse(n):
+    """Two words that every polynomial hash modulo a power of two takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_cancel_have_different_hashes():
+    close = ["abcdefg", "abcdefg\0", "abcdefgh", "abcdefgh\0", "\0abcdefg", "a", "a\0", "a\0\0", "b" * 64, "b" * 65, "b" * 66]
+    every = [*close, *(w for n in (8, 16, 64, 128, 1024, 2048, 4096, 8192) for w in thue_morse(n))]
+    hashes = np.concatenate([w.hash for _, w in text_slices(pa.array([" ".join(every)]), lower=False, size=64)])
+    assert len(hashes) == len(every) == len(set(hashes.tolist()))
+    alone = np.concatenate([w.hash for _, w in text_slices(pa.array(every), lower=False, size=64)])
+    assert (alone == hashes).all()
+    runs, seen = set(), set()
+    for word in thue_morse(1024):
+        (w,) = [w for _, w in text_slices(pa.array([" ".join(word)]), lower=False)]
+        runs |= {word[i : i + 64] for i in range(960)}
+        seen |= set(run_hashes(w.hash, np.arange(960), np.full(960, 64)).tolist())
+    assert len(runs) == len(seen)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_operators_tell_words_apart_that_cancel(spark, n):
+    x, y = thue_morse(n)
+    shared = [f"w{i}" for i in range(34)]
+    docs = table(spark, [" ".join([*shared, x]), " ".join([*shared, y]), x, y])
+    assert [r.n_removed for r in substrings.remove_repeats(spark, docs).orderBy("doc_id").collect()] == [0, 0, 0, 0]
+    near = {r.doc_id: r.component_id for r in setsketch.near_duplicates(spark, docs).collect()}
+    assert near == {0: 0, 1: 0, 2: 2, 3: 3}  # 33 of 35 shingles are shared by the first two
+    items = spark.createDataFrame([(1, x), (2, " ".join([*shared[:4], y]))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in containment.contained(spark, docs, items).collect()} == {(0, 1), (2, 1)}
+
+
 def test_words_as_by_pattern():
     texts = ODD + corpus(1, 50, vocabulary(1))
     seen = {}
@@ -132,6 +166,18 @@ def test_near_duplicates_odd_rows(spark):
     assert [r.doc_id for r in setsketch.one_of_each(spark, table(spark, ["a b", "a b", "c d"]), 5).orderBy("doc_id").collect()] == [0, 2]
 
 
+def test_one_of_each_goes_by_rows(spark):
+    long = "one two three four five six seven eight nine ten"
+    docs = table(spark, [long, long, long, long, "other text of its own that stands alone here", long + " more", None, None, "", "x"], [1, 1, 1, None, 1, 7, None, 3, None, None])
+    left = setsketch.one_of_each(spark, docs)
+    assert left.columns == docs.columns
+    rest = sorted(((r.doc_id, r.text) for r in left.collect()), key=repr)
+    assert rest == sorted([(1, long), (1, "other text of its own that stands alone here"), (None, None), (3, None), (None, ""), (None, "x")], key=repr)
+    assert setsketch.one_of_each(spark, docs.limit(0)).collect() == []
+    mixed = docs.filter("doc_id is null or doc_id = 7").filter(f"text like '{long}%'")
+    assert [r.doc_id for r in setsketch.one_of_each(spark, mixed).collect()] == [7]
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(0)
     for share in (0.2, 0.5, 0.8, 0.95):
@@ -347,6 +393,32 @@ def test_quality(spark):
     assert {round(r.score, 6) for r in quality.scored(spark, docs, none).collect()} == {0.5}
 
 
+def test_a_very_long_text_does_not_empty_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 1 << 17)
+    monkeypatch.setattr(quality, "TEXT_BYTES", 1 << 15)
+    vocab = vocabulary(8)
+    texts, labels = labelled(3, 300, lambda r: " | ".join(r.choice(vocab).upper() for _ in range(60)), lambda r: " ".join(r.choice(vocab) for _ in range(60)))
+    docs = table(spark, [*texts, "x " * 50_000, texts[0]], [*range(300), 300, 301])
+    marks = spark.createDataFrame([*labels, (300, 1), (301, 1), (301, 0)], "doc_id long, quality int")
+    model = quality.fit(docs, marks)
+    got = {r.doc_id: r for r in quality.scored(spark, docs, model).collect()}
+    held = [i for i, _ in labels if got[i].held_out]
+    assert np.mean([got[i].predicted == labels[i][1] for i in held]) > 0.9
+    again = quality.fit(docs.repartition(7), marks.repartition(3))
+    assert [(p.good, p.bad, p.weights, p.intercept) for p in again.pairs] == [(p.good, p.bad, p.weights, p.intercept) for p in model.pairs]
+    # The score is the mean of two logistic functions of the sizes that plain compressors give.
+    import zstandard
+
+    for text in (texts[0], "", "x " * 50_000):
+        raw, each = text.encode(), []
+        for pair in model.pairs:
+            good, bad = (len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(raw)) for d in (pair.good, pair.bad))
+            lean, rate = (bad - good) / (bad + good), good / (len(raw) + 20)
+            z = sum(w * x for w, x in zip(pair.weights, (lean, rate, lean * rate, rate * rate, lean * lean))) + pair.intercept
+            each.append(1 / (1 + np.exp(-max(min(z, 35), -35))))
+        assert model.scores([raw])[0] == pytest.approx(np.mean(each), abs=0.05)
+
+
 def test_folding():
     assert toxicity.fold("1DI0T! ｉｄｉｏｔ, идиот іdіоt M0R0N the!! 5$$$") == " idiot idiot идиoт idiot moron the 5 ".replace("идиoт", toxicity.fold("идиот").strip())
     assert toxicity.fold("") == "  " and toxicity.fold("a1b 2024 x") == " aib 2024 x "
@@ -381,6 +453,53 @@ def test_exceptions_cover_terms():
     assert plain[0] == pytest.approx(np.log1p(5)) and covered[0] == 0 and both[0] == plain[0]
 
 
+def by_hand(model, text):
+    """The features of a text, by trying every term and exception at every word."""
+    words, total = toxicity.fold(text).split(), 0.0
+    phrases = [toxicity.fold(e).split() for e in model.exceptions]
+    covered = {i + j for i in range(len(words)) for p in phrases if words[i : i + len(p)] == p for j in range(len(p))}
+    for i, w in enumerate(words):
+        fits = [weight for term, weight in model.terms.items() if (term == f" {w} " if term.endswith(" ") else w.startswith(term[1:]))]
+        total += max(fits, default=0) if i not in covered else 0
+    return np.log1p(total), np.log1p(100 * total / (len(words) + 50))
+
+
+def test_matches_are_those_of_brute_force():
+    rng = random.Random(4)
+    model = toxicity.Model({" trash ": 5.0, " tras": 4.0, " idio": 3.5, " moron ": 3.0, " mo": 1.0}, exceptions=("trash can", "the moron", "can trash"))
+    words = ["trash", "Tr4sh", "trasher", "idiot", "can", "the", "moron", "m0ron", "more", "x", "ＴＲＡＳＨ", "5"]
+    texts = ["", " ", "trash can", *(" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(300))]
+    assert np.allclose(model.features(texts), [by_hand(model, t) for t in texts])
+
+
+def test_time_of_matching_grows_with_the_text():
+    model = toxicity.Model({" trash ": 5.0})
+    took = []
+    for n in (10_000, 40_000):
+        best = 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            model.features(["trash can " * n])
+            best = min(best, time.perf_counter() - began)
+        took.append(best)
+    assert took[1] < 8 * took[0] + 0.02
+
+
+def test_exceptions_are_learned(spark):
+    vocab = vocabulary(9)
+
+    def text(r, extra):
+        w = [r.choice(vocab) for _ in range(40)]
+        w.insert(r.randrange(40), extra)
+        return " ".join(w)
+
+    rows = [(text(random.Random(i), "grobian" if i % 2 else "grobian lamp" if i % 8 == 0 else "plain"), i % 2) for i in range(600)]
+    docs = table(spark, [t for t, _ in rows])
+    model = toxicity.fit(spark, docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int"))
+    if any("grobi" in t for t in model.terms):
+        assert "grobian lamp" in model.exceptions
+
+
 def test_licences(spark):
     mit = " ".join(t[0] for t in (licences.SENTENCES["mit-grant"],)) + "\n\n" + licences.SENTENCES["mit-notice"][0] + "\n\n" + licences.SENTENCES["as-is"][0]
     texts = [

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from .rewrite import Detector, Match, Note, Pass, group, has, number, whole, within
+from .rewrite import Detector, Match, Note, Pass, always, group, has, number, whole, within
 
 # --- e-mail ---------------------------------------------------------------------------------------
 
@@ -20,7 +20,7 @@ def _mailable(m: Match, text: str) -> bool:
     return len(m[0]) <= 320 and not m[0].split("@")[0].endswith(".")
 
 
-email = Detector(has("@"), [Pass(EMAIL, "<EMAIL>", whole("EMAIL"), accept=_mailable)])
+email = Detector(has("@"), [Pass(EMAIL, "<EMAIL>", whole("EMAIL"), accept=_mailable)], always)
 
 # --- paths and escaped structures -----------------------------------------------------------------
 
@@ -79,8 +79,9 @@ path = Detector(
         Pass(WINDOWS_PATH, "<PATH>", whole("PATH"), needs=":\\"),
         Pass(URL_PATH, lambda m: route_template(m[1]), whole("PATH"), accept=lambda m, t: route_like(m[1]), needs="/"),
     ],
+    always,  # the parts of a route that have digits also have two slashes, which is enough
 )
-json = Detector(has("{"), _structures("JSON"))
+json = Detector(has("{"), _structures("JSON"), always)
 
 # --- identifiers ----------------------------------------------------------------------------------
 
@@ -91,7 +92,7 @@ TRACE_ID = re.compile(r"\btrace[=:]([a-zA-Z0-9\-_]+)\b")
 SESSION_ID = re.compile(r"\bsession[=:]([a-zA-Z0-9\-_]+)\b")
 CORRELATION_ID = re.compile(r"\bcorrelation[-_]?id[=:]([a-zA-Z0-9\-_]+)\b")
 HEX_32 = re.compile(r"\b[0-9a-fA-F]{32}\b")
-_HEX = re.compile(r"[0-9a-fA-F]")
+_HEX, _HEX_RUN = re.compile(r"[0-9a-fA-F]"), re.compile(r"[0-9a-fA-F]{7}")
 
 
 def id_like(text: str) -> bool:
@@ -112,8 +113,9 @@ uuid = Detector(
         Pass(TRACE_ID, "trace=<UUID>", group("UUID", when=id_like), needs="trace"),
         Pass(SESSION_ID, "session=<UUID>", group("UUID", when=id_like), needs="session"),
         Pass(CORRELATION_ID, "correlation_id=<UUID>", group("UUID", when=id_like), needs="correlation"),
-        Pass(HEX_32, "<UUID>", group("UUID", 0, mixed_hex)),
+        Pass(HEX_32, "<UUID>", group("UUID", 0, mixed_hex), context=lambda t: _HEX_RUN.search(t) is not None, steady=True),
     ],
+    always,
 )
 
 # --- network --------------------------------------------------------------------------------------
@@ -133,6 +135,10 @@ IPV6 = re.compile(
 )
 HOST_PORT = re.compile(r"([a-zA-Z][a-zA-Z0-9.-]*):([1-9]\d{1,4})\b")
 FQDN = re.compile(r"\b[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*\.[a-zA-Z]{2,}\b")
+#: What a text has if it has an address, or a name.
+_DOTTED, _ENDING = re.compile(r"[0-9]\.[0-9]"), re.compile(r"\.[a-zA-Z]{2}")
+#: What a text has if it has an address, a port or a name, besides six colons.
+_NETWORK_LIKE = re.compile(r"\d\.\d+\.\d+\.\d|\]:\d|[a-zA-Z0-9.-]:\d\d|::|\.[a-zA-Z]{2}")
 # A host that ends so is a source file and its number a line.
 SOURCE_ENDS = (".go", ".rs", ".py", ".js", ".java", ".c", ".cpp", ".h")
 
@@ -166,20 +172,19 @@ def network(ips: bool = True, ports: bool = True, fqdns: bool = True) -> Detecto
     addresses = [
         Pass(IPV4_PORT, "<IP>:<PORT>", _endpoint("IPV4", ports), needs=":"),
         Pass(IPV6_PORT, "[<IP>]:<PORT>", _endpoint("IPV6", ports), needs="]:"),
-        Pass(IPV4, "<IP>", _unseen("IPV4", 0), needs="."),
+        Pass(IPV4, "<IP>", _unseen("IPV4", 0), context=lambda t: _DOTTED.search(t) is not None),
         Pass(IPV6, "<IP>", group("IPV6", 0, ipv6_like), context=lambda t: "::" in t or t.count(":") >= 6, needs=":"),
     ]
     hosts = [Pass(HOST_PORT, lambda m: f"{m[1]}:<PORT>", _unseen("PORT", 2, 65535), accept=lambda m, t: not m[1].endswith(SOURCE_ENDS), needs=":")]
-    names = [Pass(FQDN, "<FQDN>", whole("IPV4"), needs=".")]
-    return Detector(gate, addresses * ips + hosts * ports + names * fqdns)
+    names = [Pass(FQDN, "<FQDN>", whole("IPV4"), context=lambda t: _ENDING.search(t) is not None)]
+    return Detector(gate, addresses * ips + hosts * ports + names * fqdns, lambda text, masked: text.count(":") < 6 and not _NETWORK_LIKE.search(text))
 
 
 # --- hashes and processes -------------------------------------------------------------------------
 
 # Lengths of hex runs, in the order in which they are looked for.
 HEX_LENGTHS = ("128", "64", "56", "48", "40", "32", "24", "16", "7,39")
-_HEX_RUN = re.compile(r"[0-9a-fA-F]{7}")
-hashes = Detector(lambda text: _HEX_RUN.search(text) is not None, [Pass(re.compile(rf"\b[a-fA-F0-9]{{{n}}}\b"), "<HASH>", whole("HASH")) for n in HEX_LENGTHS])
+hashes = Detector(lambda text: _HEX_RUN.search(text) is not None, [Pass(re.compile(rf"\b[a-fA-F0-9]{{{n}}}\b"), "<HASH>", whole("HASH"), steady=True) for n in HEX_LENGTHS], always)
 
 # Fixed values.
 PID_BRACKET = re.compile(r"\[pid=(\d+)\]|\[(\d+)\]")
@@ -211,6 +216,7 @@ process = Detector(
         Pass(ID_EQUALS, "id=<PID>", _pid(True), needs="id="),
         Pass(PID_PAREN, "(<PID>)", _pid(True), needs="("),
     ],
+    lambda text, masked: b"0x" not in masked,
 )
 
 # --- kubernetes -----------------------------------------------------------------------------------
@@ -236,8 +242,9 @@ def _name_form(m: Match) -> str:
     return NAME_PUTS[("=" in m[0]) + 2 * ('"' not in m[0])].format(m[1])
 
 
+_cluster = has("kube", "namespace", "pod", "volume")
 kubernetes = Detector(
-    has("kube", "namespace", "pod", "volume"),
+    _cluster,
     [
         *(Pass(re.compile(p), _renamed("<NAMESPACE>"), group("K8S_NAMESPACE"), accept=lambda m, t: m[1] in NAMESPACES) for p in NAMESPACE_FORMS),
         *(Pass(re.compile(p), _renamed("kube-api-access-<SUFFIX>", "kube-api-access-"), needs="kube-api-access-") for p in ACCESS_VOLUMES),
@@ -246,6 +253,7 @@ kubernetes = Detector(
         *(Pass(re.compile(p), _renamed("<POD_NAME>"), lambda m, seen: [("K8S_POD", m[m.re.groups])]) for p in POD_FORMS),
         *(Pass(re.compile(p), _name_form, group("K8S_NAMESPACE", 2), needs="ame") for p in NAME_FIELDS),
     ],
+    lambda text, masked: not _cluster(text),
 )
 
 # --- HTTP status classes --------------------------------------------------------------------------
@@ -273,12 +281,15 @@ def _statuses(m: Match, seen: list[Note]) -> list[Note]:
     return [("HTTP_STATUS_CLASS", status_class(code)) for code in m.groups()]
 
 
+_REQUESTS = ("HTTP/", "GET ", "POST ", "PUT ", "DELETE ")
+_request_like = has(*_REQUESTS, '" 0')
 http_status = Detector(
-    has("HTTP/", "GET ", "POST ", "PUT ", "DELETE ", '" 2', '" 3', '" 4', '" 5'),
+    has(*_REQUESTS, '" 2', '" 3', '" 4', '" 5'),
     [
         *(Pass(p, lambda m: within(1, _status_mark(m[1]))(m), _statuses, accept=_ascii, needs='"') for p in (ACCESS_STATUS, PROTOCOL_STATUS)),
         Pass(PROXY_STATUS, lambda m: f"{_status_mark(m[1])} -> {_status_mark(m[2])}", _statuses, accept=_ascii, needs="->"),
     ],
+    lambda text, masked: not _request_like(masked.decode("utf-8", "surrogatepass")),
 )
 
 # --- bracketed contexts ---------------------------------------------------------------------------
@@ -319,6 +330,7 @@ bracket = Detector(
         Pass(BRACKET_CHAIN, "<BRACKET_CONTEXT>", lambda m, seen: [("BRACKET_CONTEXT", ",".join(_chain(m)))], accept=_log_chain),
         Pass(BRACKET, "<BRACKET_CONTEXT>", lambda m, seen: [("BRACKET_CONTEXT", m[1].lower())], accept=lambda m, t: log_context(m[1])),
     ],
+    lambda text, masked: b"[0" not in masked,
 )
 
 # --- key-value pairs ------------------------------------------------------------------------------
@@ -395,11 +407,12 @@ def _lower_has(words: list[str]):
 key_value = Detector(
     lambda text: ("=" in text or ":" in text) and not _no_pairs(text),
     [
-        Pass(METRIC, "<KEY_VALUE>", _pair, context=_lower_has(METRIC_WORDS), needs="="),
-        Pass(SETTING, "<KEY_VALUE>", _pair, context=_lower_has(SETTING_WORDS), needs="="),
-        Pass(JSON_PAIR, lambda m: f'"{m[1]}": <KEY_VALUE>', _json_pair, context=has(*JSON_WORDS), needs='"'),
-        Pass(PAIR, "<KEY_VALUE>", _pair, accept=_pair_key, context=_no_code),
+        Pass(METRIC, "<KEY_VALUE>", _pair, context=_lower_has(METRIC_WORDS), needs="=", steady=True),
+        Pass(SETTING, "<KEY_VALUE>", _pair, context=_lower_has(SETTING_WORDS), needs="=", steady=True),
+        Pass(JSON_PAIR, lambda m: f'"{m[1]}": <KEY_VALUE>', _json_pair, context=has(*JSON_WORDS), needs='"', steady=True),
+        Pass(PAIR, "<KEY_VALUE>", _pair, accept=_pair_key, context=_no_code, steady=True),
     ],
+    always,
 )
 
 # --- log levels with modules ----------------------------------------------------------------------
@@ -427,8 +440,12 @@ def _module(level: int, module: int):
     return lambda m, seen: [("LOG_WITH_MODULE", f"{m[level].lower()}:{m[module]}")]
 
 
+def _with_module(text: str) -> bool:
+    return "[" in text and _modules(text) and not _code(text) and not _k8s(text)
+
+
 log_module = Detector(
-    lambda text: "[" in text and _modules(text) and not _code(text) and not _k8s(text),
+    _with_module,
     [
         Pass(APACHE, "<LOG_WITH_MODULE>", _module(1, 2), accept=lambda m, t: m[2].startswith(APACHE_MODULES), needs="mod_"),
         Pass(NGINX, lambda m: f"[{m[1]}] <LOG_WITH_MODULE>", _module(1, 2), accept=lambda m, t: m[2].startswith(NGINX_MODULES) or "module" in m[2], needs="ngx_"),
@@ -436,6 +453,7 @@ log_module = Detector(
         Pass(FRAMEWORK, lambda m: f"{m[1]} [<LOG_WITH_MODULE>]", _module(1, 2), accept=lambda m, t: any(f in m[2] for f in FRAMEWORKS), needs="["),
         Pass(SYSTEMD, lambda m: f"{m[1]}[PID]: [{m[2]}] <LOG_WITH_MODULE>:", lambda m, seen: [("LOG_WITH_MODULE", f"{m[2]}:{m[1]}.{m[3]}")], accept=lambda m, t: m[3].endswith(SYSTEMD_ENDS), needs="]:"),
     ],
+    lambda text, masked: not _with_module(text),
 )
 
 # --- structured messages --------------------------------------------------------------------------
@@ -471,14 +489,19 @@ def _message(level: int, component: int):
     return lambda m, seen: [("STRUCTURED_MESSAGE", f"{m[component].lower()}:{m[level].lower()}")]
 
 
+def _structured_like(text: str) -> bool:
+    return _marked(text) and not _excluded(text)
+
+
 structured = Detector(
-    lambda text: _marked(text) and not _excluded(text),
+    _structured_like,
     [
         Pass(CONTAINER, '{"log": "<STRUCTURED_MESSAGE>"}', _message(1, 2), accept=lambda m, t: _application(m[2]) or m[2].endswith(APPLICATION_ENDS), needs='"log":'),
         Pass(LEVEL_FIRST, "<STRUCTURED_MESSAGE>", _message(1, 2), accept=lambda m, t: component_like(m[2]), needs='{"'),
         Pass(COMPONENT_FIRST, "<STRUCTURED_MESSAGE>", _message(2, 1), accept=lambda m, t: component_like(m[1]), needs='{"'),
         Pass(LOGFMT, "<STRUCTURED_MESSAGE>", _message(1, 2), accept=lambda m, t: component_like(m[2]), needs="="),
     ],
+    lambda text, masked: not _structured_like(text),
 )
 
 # --- durations and measures -----------------------------------------------------------------------
@@ -490,22 +513,25 @@ ADDRESS = re.compile(r"\b0x[a-fA-F0-9]+\b")
 SIZE = re.compile(r"\b\d+(?:\.\d+)?\s*(?:bytes?|[KMGT]?B)\b")
 STATUS = re.compile(r"(?i)(?:status|error|code|returned?)\s+([1-5][0-9][0-9])\b")
 PERCENT = re.compile(r"\b\d+(?:\.\d+)?%")
+_THREE = re.compile(r"\s[1-5][0-9][0-9]\b")
 DECIMAL = re.compile(r"\b\d+\.\d+\b")
 INTEGER = re.compile(r"\b\d{3,}\b")
 MEASURE_MARKS = (".", "%", "ms", "s", "m", "h", "bytes", "KB", "MB")
 
+_measured, _countable = has(*MEASURE_MARKS), re.compile(r'[\d"]')
 duration = Detector(
-    has(*MEASURE_MARKS),
+    lambda text: _countable.search(text) is not None and _measured(text),
     [
         Pass(DURATION_FIELD, "<DURATION_FIELD>", whole("DURATION"), needs="uration="),
-        Pass(DURATION, "<DURATION>", whole("DURATION")),
+        Pass(DURATION, "<DURATION>", whole("DURATION"), steady=True),
         Pass(ADDRESS, "<ADDR>", whole("NUMBER"), needs="0x"),
-        Pass(SIZE, "<SIZE>", whole("SIZE")),
-        Pass(STATUS, within(1, "<HTTP_STATUS>"), group("HTTP_STATUS")),
+        Pass(SIZE, "<SIZE>", whole("SIZE"), steady=True),
+        Pass(STATUS, within(1, "<HTTP_STATUS>"), group("HTTP_STATUS"), context=lambda t: _THREE.search(t) is not None),
         Pass(PERCENT, "<PCT>", whole("NUMBER"), needs="%"),
         Pass(DECIMAL, "<DECIMAL>", whole("DURATION"), needs="."),
-        Pass(INTEGER, "<NUMBER>", whole("NUMBER")),
+        Pass(INTEGER, "<NUMBER>", whole("NUMBER"), steady=True),
     ],
+    lambda text, masked: b"0x" not in masked,  # a status code is an integer too
 )
 
 # --- names ----------------------------------------------------------------------------------------
@@ -522,4 +548,4 @@ def variable_suffix(suffix: str) -> bool:
 
 # Without a suffix there is nothing to find, and a long chain of short words would be searched from each of them.
 _SUFFIX = re.compile(r"-[a-z0-9]{5,}\b")
-name = Detector(lambda text: _SUFFIX.search(text) is not None, [Pass(NAME, lambda m: f"{m[1] if m[1] in COMMON_PREFIXES else '<COMPONENT>'}-<SUFFIX>", whole("NAME"), accept=lambda m, t: variable_suffix(m[2]))])
+name = Detector(lambda text: "-" in text and _SUFFIX.search(text) is not None, [Pass(NAME, lambda m: f"{m[1] if m[1] in COMMON_PREFIXES else '<COMPONENT>'}-<SUFFIX>", whole("NAME"), accept=lambda m, t: variable_suffix(m[2]))], always)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from lineweave.config import FoldConfig
 
 from . import detectors as d
 from . import timestamps
-from .rewrite import Detector, Match, Note, Pass, has
+from .rewrite import Detector, Match, Note, Pass, has, mask, remember
 
 # Fixed values. Possessive, so that a long literal neither recurses nor backtracks.
 QUOTED = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"')
@@ -23,15 +24,24 @@ _NETWORK = d.network()
 _INNER: list[Callable[[str], tuple[str, list[Note]]]] = [timestamps.run, d.path.run, d.uuid.run, _NETWORK.run, d.hashes.run, d.process.run, d.duration.run, d.name.run]
 
 
-def _quoted(m: Match) -> str:
-    inner = text = m[0][1:-1]
-    if "\\" in inner and any(c in inner for c in ":{["):
-        return "<ESCAPED_JSON>"
+def _inside(inner: str) -> str:
+    text = inner
     for step in _INNER:
         text, _ = step(text)
     if text != inner:
         return f'"{text}"'
-    return "<QUOTED_STRING>" if len(m[0].encode()) > LONG_QUOTE else m[0]
+    return "<QUOTED_STRING>" if len(inner.encode()) > LONG_QUOTE - 2 else f'"{inner}"'
+
+
+#: Short strings come again and again.
+_remembered = lru_cache(4096)(_inside)
+
+
+def _quoted(m: Match) -> str:
+    inner = m[0][1:-1]
+    if "\\" in inner and any(c in inner for c in ":{["):
+        return "<ESCAPED_JSON>"
+    return _remembered(inner) if len(inner) <= 200 else _inside(inner)
 
 
 class _Quoted(Pass):
@@ -47,51 +57,68 @@ class _Quoted(Pass):
         return QUOTED.sub(replace, text)
 
 
-quoted = Detector(has('"'), [_Quoted(QUOTED, "")])
+quoted = Detector(has('"'), [_Quoted(QUOTED, "")], lambda text, masked: '"' not in text)
 
 
-def stages(config: FoldConfig) -> list[Callable[[str], tuple[str, list[Note]]]]:
-    """The detectors that run, in their fixed order; the order is part of what a template means."""
+def stages(config: FoldConfig) -> list:
+    """The detectors that run, in their fixed order; the order is part of what a template means. Each has run(text) and
+    settled(text, mask)."""
     on = config.on
     net = d.network(on("ip"), on("port"), on("fqdn"))
-    table: list[tuple[bool, Callable[[str], tuple[str, list[Note]]]]] = [
-        (on("timestamp"), timestamps.run),
-        (on("email"), d.email.run),
-        (on("path"), d.path.run),
-        (on("json"), d.json.run),
-        (on("uuid"), d.uuid.run),
-        (on("ip") or on("port") or on("fqdn"), net.run),
-        (on("hash"), d.hashes.run),
-        (on("pid"), d.process.run),
-        (on("kubernetes"), d.kubernetes.run),
-        (on("http-status"), d.http_status.run),
-        (on("bracket"), d.bracket.run),
-        (on("key-value"), d.key_value.run),
-        (True, d.log_module.run),
-        (True, d.structured.run),
-        (on("duration"), d.duration.run),
-        (on("name"), d.name.run),
-        (on("quoted"), quoted.run),
+    table = [
+        (on("timestamp"), timestamps),
+        (on("email"), d.email),
+        (on("path"), d.path),
+        (on("json"), d.json),
+        (on("uuid"), d.uuid),
+        (on("ip") or on("port") or on("fqdn"), net),
+        (on("hash"), d.hashes),
+        (on("pid"), d.process),
+        (on("kubernetes"), d.kubernetes),
+        (on("http-status"), d.http_status),
+        (on("bracket"), d.bracket),
+        (on("key-value"), d.key_value),
+        (True, d.log_module),
+        (True, d.structured),
+        (on("duration"), d.duration),
+        (on("name"), d.name),
+        (on("quoted"), quoted),
     ]
-    return [run for wanted, run in table if wanted]
+    return [stage for wanted, stage in table if wanted]
 
 
 def normalizer(config: FoldConfig = FoldConfig()) -> Callable[[str], tuple[str, list[Note]]]:
-    """A function from a line to (template, notes)."""
-    steps = stages(config)
+    """A function from a line to (template, notes). It remembers which stages a mask is settled for."""
+    steps: list[tuple] = [(s.run, s.settled, set()) for s in stages(config)]
 
     def run(line: str) -> tuple[str, list[Note]]:
         notes: list[Note] = []
-        for step in steps:
-            line, found = step(line)
-            notes += found
+        masked = mask(line)
+        for step, settled, known in steps:
+            if masked in known:
+                continue
+            text, found = step(line)
+            if found or text != line:
+                line, masked = text, mask(text)
+                notes += found
+            elif settled(line, masked):
+                remember(known, masked)
         return line, notes
 
     return run
 
 
 TOKENS = "array<struct<type: string, value: string>>"
-_TOKEN = pa.list_(pa.struct([("type", pa.string()), ("value", pa.string())]))
+
+
+def _tokens(notes: list[list[Note] | None]) -> pa.Array:
+    """Notes as an array of TOKENS; no dictionary for each of them."""
+    kinds, values = pa.array([k for n in notes if n for k, _ in n], pa.string()), pa.array([v for n in notes if n for _, v in n], pa.string())
+    ends = [0]
+    for n in notes:
+        ends.append(ends[-1] + len(n or ()))
+    found = pa.StructArray.from_arrays([kinds, values], ["type", "value"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found, mask=pa.array([n is None for n in notes]))
 
 
 #: Plans that a scan's partitions do not pass through unchanged; asking such a plan for its partitions would run it.
@@ -100,10 +127,13 @@ _MOVED = re.compile(r"\b(?:Join|Aggregate|Window|Sort|Repartition|RepartitionByE
 
 def spread(lines: DataFrame) -> DataFrame:
     """Lines of a scan with fewer partitions than there are cores (a single small file), dealt to all cores: the patterns
-    cost far more than moving a line. Larger inputs have partitions enough and are not shuffled."""
-    if lines.isStreaming or _MOVED.search(lines._jdf.queryExecution().optimizedPlan().toString()):  # noqa: SLF001
-        return lines
+    cost far more than moving a line. Larger inputs have partitions enough and are not shuffled. A stream's micro-batches
+    come in any number of files, so they are always dealt out."""
     cores = lines.sparkSession.sparkContext.defaultParallelism
+    if lines.isStreaming:
+        return lines.repartition(cores)
+    if _MOVED.search(lines._jdf.queryExecution().optimizedPlan().toString()):  # noqa: SLF001
+        return lines
     return lines.repartition(cores) if lines.rdd.getNumPartitions() < cores else lines
 
 
@@ -117,7 +147,7 @@ def normalized(lines: DataFrame, config: FoldConfig = FoldConfig(), column: str
             done = [one(t) if t is not None else (None, None) for t in texts.dictionary.to_pylist()]
             index = texts.indices
             templates = pa.array([t for t, _ in done], pa.string()).take(index)
-            tokens = pa.array([None if n is None else [{"type": k, "value": v} for k, v in n] for _, n in done], _TOKEN).take(index)
+            tokens = _tokens([n for _, n in done]).take(index)
             kept = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, templates, tokens], [*names, "normalized", "tokens"])
 

@@ -2,6 +2,10 @@
 
 A detector is a gate and a list of passes. A pass replaces every match that its condition accepts and notes typed
 values of it; both see the whole text of the pass, as conditions depend on words elsewhere in the line.
+
+Log lines differ in little but their digits, and most detectors treat all digits alike. A detector that left a text alone
+therefore need not look at another one with the same mask, where every digit is a zero, if `settled` says that the digits
+had no part in it.
 """
 
 from __future__ import annotations
@@ -14,6 +18,35 @@ from dataclasses import dataclass, field
 Note = tuple[str, str]
 Match = re.Match[str]
 
+_MASK = bytes.maketrans(b"123456789", b"0" * 9)
+#: Masks that a pass or a stage remembers.
+KNOWN = 4096
+
+
+def mask(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass").translate(_MASK)
+
+
+def remember(known: set[bytes], masked: bytes) -> None:
+    if len(known) >= KNOWN:
+        known.clear()
+    known.add(masked)
+
+
+class Notes(list):
+    """Notes in order, with a set beside them to tell what was noted before."""
+
+    def __init__(self):
+        super().__init__()
+        self.known: set[Note] = set()
+
+    def extend(self, more) -> None:
+        super().extend(more)
+        self.known.update(more)
+
+    def __contains__(self, note) -> bool:
+        return note in self.known
+
 
 def required(pattern: re.Pattern[str]) -> tuple[str, ...]:
     """Literals that every match of a pattern holds; checking for them first is much faster than searching in vain."""
@@ -65,7 +98,7 @@ def within(n: int, put: str) -> Callable[[Match], str]:
 @dataclass
 class Pass:
     """One pattern over the text. `needs` is a literal without which the pattern cannot match; it only saves time, as do
-    the literals that the pattern shows by itself."""
+    the literals that the pattern shows by itself. A `steady` pass treats all digits alike."""
 
     pattern: re.Pattern[str]
     put: str | Callable[[Match], str]
@@ -73,6 +106,8 @@ class Pass:
     accept: Callable[[Match, str], bool] | None = None
     context: Callable[[str], bool] | None = None
     needs: str = ""
+    steady: bool = False
+    known: set[bytes] = field(default_factory=set, repr=False)
 
     def __post_init__(self):
         self.literals = (*([self.needs] if self.needs else []), *(r for r in required(self.pattern) if r != self.needs))
@@ -93,16 +128,35 @@ class Pass:
         return self.pattern.sub(replace, text)
 
 
+def always(text: str, masked: bytes) -> bool:
+    return True
+
+
+def never(text: str, masked: bytes) -> bool:
+    return False
+
+
 @dataclass
 class Detector:
+    """`settled` is asked of a text that was left alone, and its mask: whether all texts with that mask are."""
+
     gate: Callable[[str], bool]
     passes: list[Pass] = field(default_factory=list)
+    settled: Callable[[str, bytes], bool] = never
 
     def run(self, text: str) -> tuple[str, list[Note]]:
-        seen: list[Note] = []
+        seen = Notes()
         if self.gate(text):
+            masked = mask(text)
             for step in self.passes:
+                if masked in step.known:
+                    continue
+                before, noted = text, len(seen)
                 text = step.run(text, seen)
+                if text != before:
+                    masked = mask(text)
+                elif step.steady and len(seen) == noted:
+                    remember(step.known, masked)
         return text, seen
 
 

@@ -24,8 +24,11 @@ BLOCK, BLOCK_BYTES = 4096, 16 << 20
 
 
 def templates(normalized: DataFrame) -> DataFrame:
-    """Distinct templates with the number of their first line and their lines: normalized, ord, n."""
-    return normalized.groupBy("normalized").agg(F.min("line_no").alias("ord"), F.count("*").alias("n"))
+    """Distinct templates with the numbers of their first and last line and their lines: normalized, ord, last, n."""
+    return normalized.groupBy("normalized").agg(F.min("line_no").alias("ord"), F.max("line_no").alias("last"), F.count("*").alias("n"))
+
+
+_TEMPLATE = "normalized string, ord long, last long, n long, gid long"
 
 
 def _assigner(shared):
@@ -35,13 +38,13 @@ def _assigner(shared):
             texts = [t.encode() for t in batch.column("normalized").to_pylist()]
             found = leaders.first(batch.column("ord").to_numpy(), texts)
             ord_of = np.r_[leaders.ords, 0][found]
-            yield pa.RecordBatch.from_arrays([batch.column("normalized"), batch.column("ord"), batch.column("n"), pa.array(ord_of, mask=found < 0)], ["normalized", "ord", "n", "gid"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("normalized", "ord", "last", "n")), pa.array(ord_of, mask=found < 0)], ["normalized", "ord", "last", "n", "gid"])
 
     return run
 
 
 def clusters(spark: SparkSession, scratch: Scratch, found: DataFrame, threshold: int) -> DataFrame:
-    """Templates with gid, the first line of their group: normalized, ord, n, gid."""
+    """Templates with gid, the first line of their group: normalized, ord, last, n, gid."""
     rest, done = scratch.write(found, "templates"), []
     while True:
         block = rest.orderBy("ord").limit(BLOCK)
@@ -50,10 +53,12 @@ def clusters(spark: SparkSession, scratch: Scratch, found: DataFrame, threshold:
         if not rows:
             break
         leaders = first_fit([r.ord for r in rows], [r.normalized.encode() for r in rows], threshold)
-        assigned = scratch.write(rest.mapInArrow(_assigner(spark.sparkContext.broadcast(leaders)), "normalized string, ord long, n long, gid long"), "assigned")
+        assigned = scratch.write(rest.mapInArrow(_assigner(spark.sparkContext.broadcast(leaders)), _TEMPLATE), "assigned")
         done.append(assigned.filter("gid is not null"))
+        if len(rows) < BLOCK and sum(len(r.normalized.encode()) for r in rows) <= BLOCK_BYTES:
+            break  # the block held all templates that were left
         rest = assigned.filter("gid is null").drop("gid")
-    out = spark.createDataFrame([], "normalized string, ord long, n long, gid long")
-    for part in done:
+    out = spark.createDataFrame([], _TEMPLATE) if not done else done[0]
+    for part in done[1:]:
         out = out.unionByName(part)
     return out

@@ -28,33 +28,35 @@ BUCKETS = {
 DISTINCT_CAP, SAMPLES, INLINE = 64, 7, 3
 
 
-def assigned(normalized: DataFrame, clusters: DataFrame, small: bool) -> DataFrame:
-    """Lines with their group: templates are few against lines, so their table is broadcast if its size was checked."""
-    of = clusters.select("normalized", "gid")
-    return normalized.join(F.broadcast(of) if small else of, "normalized")
+def sized(clusters: DataFrame) -> DataFrame:
+    """Templates with their group: normalized, gid, count, last_no (of the group) and template, that of its first line.
+    What a group's size and ends are is known from its templates, which are few against lines."""
+    sizes = clusters.groupBy("gid").agg(F.sum("n").alias("count"), F.max("last").alias("last_no"), F.min_by("normalized", "ord").alias("template"))
+    return clusters.select("normalized", "gid").join(sizes, "gid")
+
+
+def assigned(normalized: DataFrame, templates: DataFrame, small: bool) -> DataFrame:
+    """Lines with what `sized` says of their template; its table is broadcast if its size was checked."""
+    return normalized.join(F.broadcast(templates) if small else templates, "normalized")
 
 
 def groups(lines: DataFrame, min_collapse: int) -> DataFrame:
     """gid, count, first and last (line_no, line, normalized, tokens), and members: the lines of a group that is too
-    small to be collapsed, so fewer than min_collapse.
-
-    The first pass only moves line numbers; texts are then fetched for the lines that are shown.
-    """
-    sizes = lines.groupBy("gid").agg(F.count("*").alias("count"), F.min("line_no").alias("first_no"), F.max("line_no").alias("last_no"))
-    shown = lines.join(sizes, "gid").filter((F.col("line_no") == F.col("first_no")) | (F.col("line_no") == F.col("last_no")) | (F.col("count") < min_collapse))
+    small to be collapsed, so fewer than min_collapse. Only lines that are shown are moved, whatever a group's size."""
+    shown = lines.filter((F.col("line_no") == F.col("gid")) | (F.col("line_no") == F.col("last_no")) | (F.col("count") < min_collapse))
     line = F.struct("line_no", "line", "normalized", "tokens")
-    ends = shown.groupBy("gid", "count", "first_no", "last_no").agg(F.sort_array(F.collect_list(line)).alias("members"))
+    ends = shown.groupBy("gid", "count").agg(F.sort_array(F.collect_list(line)).alias("members"))
     first, last = F.element_at("members", 1), F.element_at("members", -1)
     return ends.select("gid", "count", first.alias("first"), last.alias("last"), F.when(F.col("count") < min_collapse, F.col("members")).alias("members"))
 
 
-def token_rows(lines: DataFrame) -> DataFrame:
+def token_rows(lines: DataFrame, *keep: str) -> DataFrame:
     """gid, type, value and at, the place of every token in the order of lines and of tokens within them."""
-    rows = lines.select("gid", "line_no", F.posexplode("tokens").alias("pos", "token"))
-    return rows.select("gid", "token.type", "token.value", F.struct("line_no", "pos").alias("at"))
+    rows = lines.select("gid", *keep, "line_no", F.posexplode("tokens").alias("pos", "token"))
+    return rows.select("gid", *keep, "token.type", "token.value", F.struct("line_no", "pos").alias("at"))
 
 
-def rollup(lines: DataFrame, sizes: DataFrame, min_collapse: int, cap: int = DISTINCT_CAP, k: int = SAMPLES) -> DataFrame:
+def rollup(lines: DataFrame, min_collapse: int, cap: int = DISTINCT_CAP, k: int = SAMPLES) -> DataFrame:
     """Per collapsed group and token type: gid, type, distinct_count, samples, capped.
 
     Distinct values are counted in the order in which they first occur, up to `cap`; any token after the cap-th
@@ -62,12 +64,10 @@ def rollup(lines: DataFrame, sizes: DataFrame, min_collapse: int, cap: int = DIS
     (template, type, value). The window keeps cap rows for each key before the shuffle, so a group of any size moves
     `cap` values a task.
     """
-    large = sizes.filter(F.col("count") >= min_collapse).select("gid", "template")
-    rows = lines.select("gid", "line_no", "tokens").join(large.select("gid"), "gid", "left_semi")
-    rows = token_rows(rows).select("gid", "type", "value", (F.col("at.line_no").cast("decimal(20,0)") * 100_000 + F.col("at.pos")).alias("at"))
+    rows = token_rows(lines.filter(F.col("count") >= min_collapse), "template")
     last = rows.groupBy("gid", "type").agg(F.max("at").alias("last"))
-    firsts = rows.groupBy("gid", "type", "value").agg(F.min("at").alias("at"))
-    ranked = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("gid", "type").orderBy("at"))).filter(F.col("rank") <= cap).join(large, "gid")
+    firsts = rows.groupBy("gid", "type", "value", "template").agg(F.min("at").alias("at"))
+    ranked = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("gid", "type").orderBy("at"))).filter(F.col("rank") <= cap)
     worthy = F.when(F.col("type").isin(SAMPLED), F.struct(F.md5(F.concat("template", "type", "value").cast("binary")).alias("key"), "value"))
     per = ranked.groupBy("gid", "type").agg(F.count("*").alias("distinct_count"), F.max("at").alias("capped_at"), F.array_sort(F.collect_list(worthy)).alias("drawn"))
     samples = F.array_sort(F.transform(F.slice("drawn", 1, k), lambda x: x["value"]))

@@ -46,8 +46,8 @@ def masked(column: Column) -> Column:
 
 def masked_by(column: Column, tokens: Column) -> Column:
     """A text with every occurrence of the e-mail addresses among its tokens as <EMAIL>."""
-    found = F.filter(tokens, lambda t: (t["type"] == "EMAIL") & (t["value"] != ""))
-    return F.aggregate(found, column, lambda text, t: F.replace(text, t["value"], F.lit("<EMAIL>")))
+    found = F.array_distinct(F.transform(F.filter(tokens, lambda t: (t["type"] == "EMAIL") & (t["value"] != "")), lambda t: t["value"]))
+    return F.aggregate(found, column, lambda text, value: F.replace(text, value, F.lit("<EMAIL>")))
 
 
 def half_masked(column: Column) -> Column:

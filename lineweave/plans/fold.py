@@ -47,14 +47,15 @@ class Fold:
 
     @cached_property
     def clusters(self) -> DataFrame:
-        """normalized, ord, n, gid."""
+        """normalized, ord, last, n, gid."""
         return clusters(self.spark, self.scratch, templates(self.normalized), self.config.threshold)
 
     @cached_property
     def assigned(self) -> DataFrame:
         """Normalized lines with their group."""
         n, size = self.clusters.agg(F.count("*"), F.sum(F.octet_length("normalized"))).first()
-        return g.assigned(self.normalized, self.clusters, n <= BROADCAST_TEMPLATES and (size or 0) <= BROADCAST_BYTES)
+        templates = self.scratch.write(g.sized(self.clusters), "sized")
+        return g.assigned(self.normalized, templates, n <= BROADCAST_TEMPLATES and (size or 0) <= BROADCAST_BYTES)
 
     @cached_property
     def groups(self) -> DataFrame:
@@ -64,8 +65,7 @@ class Fold:
     @cached_property
     def rollup(self) -> DataFrame:
         """gid, type, distinct_count, samples, capped of collapsed groups."""
-        sizes = self.groups.select("gid", "count", F.col("first.normalized").alias("template"))
-        rolled = g.rollup(self.assigned, sizes, self.config.min_collapse)
+        rolled = g.rollup(self.assigned, self.config.min_collapse)
         if self.config.sanitize and not self.config.raw_json:
             rolled = rolled.withColumn("samples", F.when(F.col("type") == "EMAIL", F.array_distinct(F.transform("samples", lambda x: F.lit("<EMAIL>")))).otherwise(F.col("samples")))
         return self.scratch.write(rolled, "rollup")
@@ -92,7 +92,8 @@ class Fold:
     def top(self, n: int) -> DataFrame:
         """count, text of the n largest groups; only those are described."""
         best = views.top_n(self.groups, n)
-        out = best.join(g.variation(self.rollup.join(F.broadcast(best.select("gid")), "gid", "left_semi")), "gid", "left")
+        gids = best.select("gid")
+        out = best.join(g.variation(self.rollup.join(F.broadcast(gids) if n <= BROADCAST_TEMPLATES else gids, "gid", "left_semi")), "gid", "left")
         out = out.withColumn("variation", F.coalesce("variation", F.array().cast(dict(out.dtypes)["variation"])))
         return render.texts(out, self.config).orderBy(F.desc("count"), "normalized").select("count", "text")
 

@@ -45,13 +45,11 @@ def marker(hidden: Column, variation: Column, first_ts: Column, last_ts: Column,
 
 def varying(first: Column, last: Column, essence: bool = False) -> Column:
     """Sorted names of the types whose values differ between two token lists."""
-    kinds = sorted({v for k, v in VARYING.items() if not (essence and k == "TIMESTAMP")})
-
-    def values(tokens: Column, kind: str) -> Column:
-        types = [t for t, k in VARYING.items() if k == kind]
-        return F.transform(F.filter(tokens, lambda t: t["type"].isin(types)), lambda t: F.when(t["type"].isin(*_NO_VALUE), "").otherwise(t["value"]))
-
-    return F.array_compact(F.array(*(F.when(values(first, k) != values(last, k), k) for k in kinds)))
+    kinds = F.create_map(*(F.lit(x) for t, k in VARYING.items() if not (essence and t == "TIMESTAMP") for x in (t, k)))
+    named = lambda tokens: F.transform(tokens, lambda t: F.struct(kinds[t["type"]].alias("kind"), F.when(t["type"].isin(*_NO_VALUE), "").otherwise(t["value"]).alias("value")))
+    values = lambda tokens, kind: F.transform(F.filter(named(tokens), lambda t: t["kind"] == kind), lambda t: t["value"])
+    there = F.array_compact(F.array_distinct(F.transform(F.concat(first, last), lambda t: kinds[t["type"]])))
+    return F.array_sort(F.filter(there, lambda kind: values(first, kind) != values(last, kind)))
 
 
 def plain_marker(hidden: Column, first: Column, last: Column, config: FoldConfig) -> Column:

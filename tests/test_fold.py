@@ -165,7 +165,7 @@ def test_clusters_are_first_fit(spark, monkeypatch, threshold):
     rng = random.Random(threshold)
     templates = list(dict.fromkeys("".join(rng.choice("ab") for _ in range(rng.randint(1, 12))) for _ in range(120)))
     monkeypatch.setattr(clustering, "BLOCK", 13)
-    found = spark.createDataFrame([(t, i, 1) for i, t in enumerate(templates)], "normalized string, ord long, n long")
+    found = spark.createDataFrame([(t, i, i, 1) for i, t in enumerate(templates)], "normalized string, ord long, last long, n long")
     got = {r.ord: r.gid for r in clustering.clusters(spark, Scratch(spark, "t"), found, threshold).collect()}
     assert [got[i] for i in range(len(templates))] == brute_first_fit(templates, threshold)
 

@@ -33,13 +33,25 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--top", type=int, help="the N largest groups; with --summary 0 is all")
     p.add_argument("--fit", "--human", action="store_true", help="as many lines as the terminal has")
     p.add_argument("--fail-on-pattern", help="exit with 1 if a raw line matches")
-    p.add_argument("--completions", choices=("bash",), help="print a completion script")
+    p.add_argument("--completions", choices=SHELLS, help="print a completion script")
     return p
 
 
-def completions() -> str:
-    flags = " ".join(o for a in parser()._actions for o in a.option_strings)  # noqa: SLF001
-    return f"complete -o default -W '{flags}' lineweave"
+SHELLS = ("bash", "elvish", "fish", "powershell", "zsh")
+
+
+def completions(shell: str = "bash") -> str:
+    """A script for a shell that completes options, and else file names."""
+    flags = [o for a in parser()._actions for o in a.option_strings]  # noqa: SLF001
+    quoted = ", ".join(f"'{f}'" for f in flags)
+    if shell == "fish":
+        return "\n".join(f"complete -c lineweave {'-l ' + f[2:] if f.startswith('--') else '-s ' + f[1:]}" for f in flags)
+    return {
+        "bash": f"complete -o default -W '{' '.join(flags)}' lineweave",
+        "zsh": f"#compdef lineweave\n_arguments {' '.join(flags)} '*:file:_files'",
+        "elvish": f"set edit:completion:arg-completer[lineweave] = {{|@args| put {' '.join(flags)} }}",
+        "powershell": f"Register-ArgumentCompleter -Native -CommandName lineweave -ScriptBlock {{ param($word) @({quoted}) | Where-Object {{ $_ -like \"$word*\" }} }}",
+    }[shell]
 
 
 def fit_budget(rows: int | None) -> int | None:
@@ -120,7 +132,7 @@ def run(spark, args: argparse.Namespace, out=None, err=None) -> int:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.completions:
-        print(completions())
+        print(completions(args.completions))
         return 0
     from pyspark.sql import SparkSession
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 #: The detectors that can be switched off, by name, in the order in which they run.
 DETECTORS = ("timestamp", "email", "path", "json", "uuid", "ip", "port", "fqdn", "hash", "pid", "kubernetes", "http-status", "bracket", "key-value", "duration", "name", "quoted")
+#: Other names of detectors, and of several at once.
+GROUPS = {"network": ("ip", "port", "fqdn"), "process": ("pid",), "brackets": ("bracket",), "quoted-string": ("quoted",)}
 #: Output formats and their other names.
 FORMATS = {"text": "text", "plain": "text", "markdown": "markdown", "md": "markdown", "json": "json", "jsonl": "json"}
 _UNITS = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
@@ -29,11 +31,12 @@ def parse_format(text: str) -> str:
 
 
 def parse_detectors(text: str) -> frozenset[str]:
-    """A comma-separated list of detector names."""
-    names = frozenset(x.strip() for x in text.split(",") if x.strip())
-    if unknown := names - set(DETECTORS):
-        raise ValueError(f"unknown detector {', '.join(sorted(unknown))}; one of {', '.join(DETECTORS)}")
-    return names
+    """A comma-separated list of names of detectors or groups of them, in any case."""
+    names = [x.strip().lower() for x in text.split(",") if x.strip()]
+    found = frozenset(d for x in names for d in GROUPS.get(x, (x,)))
+    if unknown := found - set(DETECTORS):
+        raise ValueError(f"unknown detector {', '.join(sorted(unknown))}; one of {', '.join((*DETECTORS, *GROUPS))}")
+    return found
 
 
 @dataclass(frozen=True)

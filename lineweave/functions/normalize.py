@@ -118,7 +118,7 @@ def _tokens(notes: list[list[Note] | None]) -> pa.Array:
     for n in notes:
         ends.append(ends[-1] + len(n or ()))
     found = pa.StructArray.from_arrays([kinds, values], ["type", "value"])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found, mask=pa.array([n is None for n in notes]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found, mask=pa.array([n is None for n in notes], pa.bool_()))
 
 
 #: Plans that a scan's partitions do not pass through unchanged; asking such a plan for its partitions would run it.

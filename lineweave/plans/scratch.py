@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset, as in tests."""
+    """spark.checkpoint.dir, or, where that is unset and driver and executors are one process, a folder of our own."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lineweave-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -37,16 +42,39 @@ def small_batches(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+_folders: set[str] = set()
+
+
+def _remove(path: str) -> None:
+    sc = SparkContext._active_spark_context  # noqa: SLF001
+    if sc is not None and sc._jsc is not None:  # noqa: SLF001
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
+
+
+def sweep() -> None:
+    """Removes the scratch folders of all plans of this process. No DataFrame that a plan returned can be read then, so a
+    long session calls it between jobs; it also runs when the process ends."""
+    for path in list(_folders):
+        with contextlib.suppress(Exception):
+            _remove(path)
+        _folders.discard(path)
+
+
 class Scratch:
     """Tables that cut lineage: a lost executor costs a reread, never a recomputation.
 
     Every plan takes a folder of its own. Tables that a returned DataFrame reads must stay; others go with `drop`,
-    and the whole folder with `clear`.
+    the whole folder with `clear`, and what is left with `sweep`.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/lineweave-{name}-{uuid.uuid4().hex}"
         self.n, self.paths = 0, []
+        if not _folders:
+            atexit.unregister(sweep)
+            atexit.register(sweep)  # after Spark's own hooks, so that it runs before them
+        _folders.add(self.path)
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
@@ -60,23 +88,19 @@ class Scratch:
 
     def drop(self, df: DataFrame | None) -> None:
         if df is not None and (path := getattr(df, "_scratch_path", None)):
-            self._delete(path)
+            _remove(path)
             self.paths.remove(path)
 
     def keep(self, *tables: DataFrame) -> None:
         """Drops all tables but these: what a result still reads."""
         kept = {getattr(t, "_scratch_path", None) for t in tables}
         for path in [p for p in self.paths if p not in kept]:
-            self._delete(path)
+            _remove(path)
             self.paths.remove(path)
 
     def clear(self) -> None:
-        self._delete(self.path)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm  # noqa: SLF001
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
+        _remove(self.path)
+        _folders.discard(self.path)
 
 
 def numbered(scratch: Scratch, df: DataFrame, *order: Column | str, name: str = "n") -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lineweave.config import FoldConfig, parse_detectors, parse_format, parse_size
 from lineweave.functions.normalize import normalizer
@@ -135,9 +136,36 @@ def test_summary_and_views(spark):
 def test_reports(spark, monkeypatch):
     monkeypatch.setenv("SOURCE_DATE_EPOCH", "0")
     f = fold(spark, REFUSED)
-    assert "1970-01-01T00:00:00Z" in render.stats_report(f.stats) and "| IP Addresses | 8 |" in render.stats_report(f.stats)
+    assert "1970-01-01T00:00:00Z" in render.stats_report(f.stats) and "| Network | 8 |" in render.stats_report(f.stats)
     assert "- **Compression ratio**: 25.0%" in render.markdown_head(f.stats)
-    assert f.preflight()["recommendations"][1] == "Output size: 3 lines (from 4 original)"
+    assert f.preflight()["recommendations"][1] == "3 of 4 lines remain."
+
+
+def access_log():
+    """Fifty requests of three kinds, in the order of time."""
+    agents = ["Mozilla/5.0 (X11; Linux x86_64)", "curl/8.4.0", "Mozilla/5.0 (X11; Linux x86_64)"]
+    paths = ["/api/v1/users/{}", "/static/js/app-{}.js", "/api/v1/orders/{}/items?page=2"]
+    codes = [200, 200, 404, 200, 500]
+    return [f'192.168.{i % 4}.{i + 10} - - [{10 + i // 30}/Oct/2024:13:{i % 60:02}:{i * 7 % 60:02} +0000] "GET {paths[i % 3].format(1000 + i)} HTTP/1.1" {codes[i % 5]} {500 + 37 * i} "-" "{agents[i % 3]}"' for i in range(50)]
+
+
+def test_reduction_of_known_kinds_of_logs(spark):
+    """The limits that folds of such logs keep: an access log, a generated cluster log, lines with addresses."""
+    access = fold(spark, access_log()).stats
+    assert access["output_lines"] <= 20 and access["markdown_ratio"] >= 75
+    cluster = Fold(spark, src.cluster_log(spark, 1000)).stats
+    assert 5 <= cluster["output_lines"] <= 30 and cluster["markdown_ratio"] >= 95
+    mails = fold(spark, [f"2024-01-01 10:{i // 60 % 60:02}:{i % 60:02} mail from user{i}@host{i % 9}.org to box{i % 7}@example.com accepted" for i in range(2000)]).stats
+    assert mails["output_lines"] < 100 and mails["emails"] == 4000
+
+
+def test_one_group_with_most_lines(spark):
+    """Nine of ten lines in one group: its counts are exact, and only its ends are moved."""
+    lines = spark.range(20_000).selectExpr("id + 1 as line_no", "case when id % 10 = 0 then concat('rare ', md5(cast(id % 50 as string)), ' kind') else concat('worker took ', id + 1000, ' ms') end as line")
+    f = Fold(spark, lines)
+    big = f.groups.orderBy(F.desc("count")).first()
+    assert big["count"] == 18_000 and (big["first"]["line_no"], big["last"]["line_no"]) == (2, 20_000) and big["members"] is None
+    assert f.groups.agg(F.sum("count")).first()[0] == 20_000
 
 
 def test_analyze(spark):

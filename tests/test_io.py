@@ -69,7 +69,7 @@ def test_open_groups_evict(monkeypatch):
     out = [groups.add(i, t, t) for i, t in enumerate(["aaaa"] * 3 + ["bbbbbbbbbbbb", "c" * 30, "d" * 90, "e" * 300], 1)]
     assert [o and o[1] for o in out] == [None] * 5 + ["aaaa", None]
     again = streaming.OpenGroups(FoldConfig(), groups.state())
-    assert again.state() == groups.state() and again.add(8, "x", "b" * 12) is None and again.rows[0][2] == 2
+    assert again.state() == groups.state() and again.add(8, "x", "b" * 12) is None and next(iter(again.rows.values()))[2] == 2
     # Small groups go once they are old.
     for i in range(9, 120):
         gone = again.add(i, "b" * 12, "b" * 12)
@@ -117,13 +117,13 @@ def test_command_line(spark, tmp_path):
     assert '"input_lines": 5' in run(spark, tmp_path, rows, "--stats-json")[2]
     assert "### Entry 1 (Folded)" in run(spark, tmp_path, rows, "--format", "markdown")[1]
     assert run(spark, tmp_path, rows, "--min-collapse", "1")[0] == 2 and run(spark, tmp_path, rows, "--fail-on-pattern", "(")[0] == 2
-    assert cli.fit_budget(24) == 20 and cli.fit_budget(6) is None and "--top" in cli.completions()
+    assert cli.fit_budget(24) == 20 and cli.fit_budget(6) is None and all("top" in cli.completions(shell) for shell in cli.SHELLS)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="tables are not there")
 def test_stream_emits_every_line(spark):
     """Every line of every language is in one group, also in a language that never has too many groups open."""
-    got = queries.streaming_fold(spark, SF).groupBy("log").agg(F.sum("count").alias("lines"), F.countDistinct("gid").alias("gids"), F.count("*").alias("groups")).collect()
+    got = queries.streaming_fold_documents(spark, SF).groupBy("log").agg(F.sum("count").alias("lines"), F.countDistinct("gid").alias("gids"), F.count("*").alias("groups")).collect()
     want = src.doc_lines(spark, SF).groupBy("lang").count().collect()
     assert {r.log: r.lines for r in got} == {r.lang: r["count"] for r in want}
     assert all(r.gids == r.groups for r in got)

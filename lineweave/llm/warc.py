@@ -9,7 +9,9 @@ that refer to it and carry no payload, but its digest and length.
 
 Defined cases: a null payload is empty; a null url is empty; rows that repeat an id and its payload are all
 responses if the id is the smallest; a row without an id is a revisit if any row with an id has its payload, else a
-response; an empty table gives no files. Columns other than the three named ones are ignored.
+response; a very long payload is a frame of its own, held in memory whole by one task; an empty table gives no files.
+Columns other than the three named ones are ignored, whatever their names. Files of failed attempts are in no index; they
+go with the folder.
 """
 
 from __future__ import annotations
@@ -159,12 +161,17 @@ def _reader(folder: str):
     def run(batches):
         fs, path = pafs.FileSystem.from_uri(folder)
         zstd = zstandard.ZstdDecompressor()
+        file = opened = None
         for batch in batches:
             for name, frame, offsets in zip(*(batch.column(c).to_pylist() for c in ("file", "frame", "offsets"))):
-                with fs.open_input_file(f"{path}/{name}") as f:
-                    at, packed, raw = seek_table(f)[frame]
-                    f.seek(at)
-                    data = zstd.decompress(f.read(packed), max_output_size=raw)
+                if name != opened:  # rows come sorted by file, whose seek table is read once
+                    if file is not None:
+                        file.close()
+                    file, opened = fs.open_input_file(f"{path}/{name}"), name
+                    table = seek_table(file)
+                at, packed, raw = table[frame]
+                file.seek(at)
+                data = zstd.decompress(file.read(packed), max_output_size=raw)
                 rows = []
                 for offset in sorted(offsets):
                     head, http, payload, _ = parse(data, offset)
@@ -174,14 +181,18 @@ def _reader(folder: str):
                         raise ValueError(f"{name}: record at frame {frame}, offset {offset} is damaged")
                     rows.append((_number(head["WARC-Record-ID"]), length, stated, kind, _number(head.get("WARC-Refers-To")), head["WARC-Target-URI"]))
                 yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*rows)))), schema)
+        if file is not None:
+            file.close()
 
     return run
 
 
 def read_bundles(index: DataFrame, folder: str) -> DataFrame:
-    """Reads the indexed records back, frame by frame: page_id, payload_bytes, payload_digest, record_type, refers_to,
-    url. Responses are checked against their stated digest and length."""
-    frames = index.groupBy("file", "frame").agg(F.collect_list("offset").alias("offsets"))  # as many as fit in one frame
+    """Reads the indexed records back, file by file and frame by frame: page_id, payload_bytes, payload_digest,
+    record_type, refers_to, url. Responses are checked against their stated digest and length. A file is what one task
+    wrote, so that files are of about one size."""
+    frames = index.repartition("file").groupBy("file", "frame").agg(F.collect_list("offset").alias("offsets"))  # as many as fit in one frame
+    frames = frames.sortWithinPartitions("file", "frame")
     return frames.mapInArrow(_reader(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 

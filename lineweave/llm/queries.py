@@ -19,6 +19,11 @@ def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.linked(spark, load(spark, sf_dir, "conversations"))
 
 
+def quotes_in_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second operator over a table with quotes, which the given conversations do not have."""
+    return quotes.linked(spark, quotes.replies(load(spark, sf_dir, "conversations")))
+
+
 def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, load(spark, sf_dir, "pages")).drop("url")
 
@@ -53,13 +58,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_compression, op2_quotation_linking, op3_warc_bundles, op4_toxicity_lexicon, op5_setsketch_near_dedup, op6_benchmark_containment, op7_sorted_projections, op8_source_mixing, op9_licence_rules, op10_substring_dedup)
+    found = (op1_quality_compression, op2_quotation_linking, op3_warc_bundles, op4_toxicity_lexicon, op5_setsketch_near_dedup, op6_benchmark_containment, op7_sorted_projections, op8_source_mixing, op9_licence_rules, op10_substring_dedup, quotes_in_replies)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_quotation_linking": quotes.ORACLE,
+        "op2_quotation_linking": quotes.oracle(),
+        "quotes_in_replies": quotes.oracle(quotes.REPLIES),
         "op3_warc_bundles": warc.ORACLE,
         "op5_setsketch_near_dedup": setsketch.ORACLE,
         "op6_benchmark_containment": containment.ORACLE,

@@ -1,17 +1,22 @@
 """Quotation linking: conversations in reply order, without quotes, from DataFrame functions alone.
 
 Every line has a quote level, its number of leading '>'. Consecutive lines of one level without a blank line between
-them are a passage; passages are normalised (lower case, one space between words) and hashed. A quoted passage is
-linked to the message of the same conversation that first wrote it, unquoted, in an earlier turn. A message replies to
-the latest original of its shallowest linked quotes, or to the turn before it if it links to none. Since a reply
-always refers to an earlier turn, the order by turn puts every message after the one it answers.
+them are a passage; passages are normalised (lower case, one space between words) and hashed, and so are their lines and
+sentences of PART words or more. A quoted passage is linked to the message of the same conversation that first wrote it,
+unquoted, as a passage, line or sentence, in an earlier turn; one that nobody wrote as a whole is linked to the latest
+message that first wrote a line or sentence of it. A message replies to the latest original of its shallowest linked
+quotes, or to the turn before it if it links to none. Replies form a tree; messages are ordered by depth in it and then by
+turn, so that every message comes after the one it answers.
 
 No window holds a whole conversation: turns are dealt into ranges of RANGE turns, and ranges are offset by their counts.
-Originals are pre-aggregated to one row for each conversation and passage before they are joined.
+Originals are pre-aggregated to one row for each conversation and hash before they are joined. Only turns that link to a
+quote need their depth followed, by doubling the steps, so the rounds grow with the logarithm of the longest chain of them.
 
 Defined cases: a null or empty text has no passages and an empty clean text; rows without a conversation or turn link
-with nothing (position and reply_to null); rows that repeat a turn share its position, and repeated rows do not add to
-each other's quotes; an attribution line ('... wrote:') right above a quote goes with it. Other columns are ignored.
+with nothing (position, depth and reply_to null); rows that repeat a turn share its position, and repeated rows do not
+add to each other's quotes; if they reply to different turns, the latest counts for their depth; an attribution line
+('... wrote:') right above a quote goes with it; a very long text is one row, parsed whole; an empty table gives an empty
+result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +24,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lineweave.plans.scratch import numbered
+
+from .common import Scratch, only_ids
+
 RANGE = 1024
+#: Words of a line or sentence that links by itself.
+PART = 3
 
 
 def _parsed(text) -> F.Column:
@@ -31,47 +42,145 @@ def _parsed(text) -> F.Column:
 
 #: Passages: runs that start at a line with text whose level differs from the line before, or after a blank line.
 _STARTS = "filter(sequence(0, size(parsed) - 1), i -> trim(parsed[i].body) <> '' and (i = 0 or parsed[i].level <> parsed[i - 1].level or trim(parsed[i - 1].body) = ''))"
-_PASSAGES = r"""transform(starts, (s, j) -> struct(j as place, parsed[s].level as level,
-    md5(cast(trim(regexp_replace(lower(array_join(transform(slice(parsed, s + 1, coalesce(get(starts, j + 1), size(parsed)) - s), p -> p.body), ' ')), '\\s+', ' ')) as binary)) as hash))"""
+_PASSAGES = "transform(starts, (s, j) -> struct(j as place, parsed[s].level as level, transform(slice(parsed, s + 1, coalesce(get(starts, j + 1), size(parsed)) - s), p -> p.body) as lines))"
 _CLEAN = r"""trim(BOTH '\n' FROM array_join(transform(filter(sequence(0, size(parsed) - 1), i -> parsed[i].level = 0
     and not (i + 1 < size(parsed) and get(parsed, i + 1).level > 0 and rtrim(parsed[i].body) like '% wrote:')), i -> parsed[i].body), '\n'))"""
 
 
+def _normal(x) -> F.Column:
+    return F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
+
+
+def _hash(x) -> F.Column:
+    return F.md5(x.cast("binary"))
+
+
+def _parts(lines, whole) -> F.Column:
+    """Hashes of the lines and sentences of a passage that have PART words or more."""
+    every = F.concat(F.transform(lines, _normal), F.split(whole, "(?<=[.!?]) "))
+    return F.transform(F.array_distinct(F.filter(every, lambda x: F.size(F.split(x, " ")) >= PART)), _hash)
+
+
 def linked(spark: SparkSession, messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """<conv_col>, <turn_col>, <role_col>, position, reply_to, n_quotes, n_linked, text (without quotes)."""
+    """<conv_col>, <turn_col>, <role_col>, position, depth, reply_to, n_quotes, n_linked, text (without quotes)."""
+    s = Scratch(spark, "quotes")
     rows = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     rows = rows.withColumn("own", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).withColumn("parsed", _parsed(F.col("text")))
     passages = rows.withColumn("starts", F.expr(_STARTS)).select("conv", "turn", "own", F.explode(F.expr(_PASSAGES)).alias("p")).select("conv", "turn", "own", "p.*")
-    originals = passages.filter("level = 0").groupBy("conv", "hash").agg(F.min("turn").alias("original"))
-    quotes = passages.filter("level > 0").distinct().join(originals, ["conv", "hash"], "left").withColumn("original", F.when(F.col("original") < F.col("turn"), F.col("original")))
+    passages = passages.withColumn("whole", _normal(F.array_join("lines", " "))).select("conv", "turn", "own", "place", "level", _hash(F.col("whole")).alias("hash"), _parts(F.col("lines"), F.col("whole")).alias("parts"))
+
+    quotes = s.write(passages.filter("level > 0").distinct(), "quotes")
+    facts = _facts(s, passages, quotes)
+    turns = _turns(s, rows, facts)
+    out = rows.withColumn("clean", F.expr(_CLEAN)).drop("parsed", "text")
+    if facts is None:
+        out = out.withColumn("n_quotes", F.lit(0)).withColumn("n_linked", F.lit(0)).withColumn("original", F.lit(None).cast("long"))
+    else:
+        out = out.join(facts, ["conv", "turn", "own"], "left")
+    out = out.join(turns, ["conv", "turn"], "left")
+    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), "position", "depth", F.coalesce("original", "previous").alias("reply_to"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.col("clean").alias("text"))
+
+
+def _facts(s: Scratch, passages: DataFrame, quotes: DataFrame) -> DataFrame | None:
+    """conv, turn, own, n_quotes, n_linked, and original, the turn that the message answers; None without any quotes."""
+    if quotes.isEmpty():
+        return None
+    quoting = quotes.filter("conv is not null").select("conv").distinct()
+    units = only_ids(passages.filter("level = 0"), quoting, "conv").select("conv", "turn", F.explode(F.array_distinct(F.concat(F.array("hash"), "parts"))).alias("unit"))
+    originals = s.write(units.groupBy("conv", "unit").agg(F.min("turn").alias("first")), "originals")
+    key = ["conv", "turn", "own", "place", "level"]
+    asked = quotes.select(*key, F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("hash").alias("unit"))), F.transform("parts", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))))).alias("q")).select(*key, "q.*")
+    found = asked.join(originals, ["conv", "unit"], "left").withColumn("first", F.when(F.col("first") < F.col("turn"), F.col("first")))
+    found = found.groupBy(*key).agg(F.coalesce(F.max(F.when(F.col("whole"), F.col("first"))), F.max("first")).alias("original"))
     nearest = F.max_by("original", F.when(F.col("original").isNotNull(), F.struct(-F.col("level"), F.col("original"))))
-    facts = quotes.groupBy("conv", "turn", "own").agg(F.count("*").alias("n_quotes"), F.count("original").alias("n_linked"), nearest.alias("original"))
-
-    turns = rows.select("conv", "turn").filter("conv is not null and turn is not null").distinct().withColumn("range", F.floor(F.col("turn") / RANGE))
-    ranges = turns.groupBy("conv", "range").agg(F.count("*").alias("n"), F.max("turn").alias("last"))
+    return s.write(found.groupBy("conv", "turn", "own").agg(F.count("*").alias("n_quotes"), F.count("original").alias("n_linked"), nearest.alias("original")), "facts")
+
+
+def _turns(s: Scratch, rows: DataFrame, facts: DataFrame | None) -> DataFrame:
+    """conv, turn, previous (the turn before), depth and position of every turn."""
+    turns = rows.select("conv", "turn").filter("conv is not null and turn is not null").distinct()
+    if facts is None:
+        turns = turns.withColumn("target", F.lit(None).cast("long"))
+    else:
+        turns = turns.join(facts.filter("original is not null").groupBy("conv", "turn").agg(F.max("original").alias("target")), ["conv", "turn"], "left")
+    # Places among all turns of the conversation, and the latest turn up to each that answers a quote, range by range.
+    turns = turns.withColumn("range", F.floor(F.col("turn") / RANGE))
     earlier = Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("conv", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.max("last").over(earlier).alias("last"))
     inside = Window.partitionBy("conv", "range").orderBy("turn")
-    turns = turns.withColumn("place", F.row_number().over(inside)).withColumn("lag", F.lag("turn").over(inside)).join(ranges, ["conv", "range"])
-    turns = turns.select("conv", "turn", (F.col("before") + F.col("place") - 1).alias("position"), F.coalesce("lag", "last").alias("previous"))
-
-    out = rows.withColumn("clean", F.expr(_CLEAN)).drop("parsed", "text").join(facts, ["conv", "turn", "own"], "left").join(turns, ["conv", "turn"], "left")
-    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), "position", F.coalesce("original", "previous").alias("reply_to"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.col("clean").alias("text"))
-
-
-#: DuckDB twin for conversations whose texts hold no carriage returns.
-ORACLE = r"""
-WITH l AS (SELECT c.*, u.line, u.i FROM (SELECT *, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations) c, LATERAL (SELECT unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i) u),
+    turns = turns.withColumn("place", F.row_number().over(inside)).withColumn("lag", F.lag("turn").over(inside))
+    mark = F.when(F.col("target").isNotNull(), F.struct("turn", "place"))
+    ranges = turns.groupBy("conv", "range").agg(F.count("*").alias("n"), F.max("turn").alias("last"), F.max(mark).alias("mark"))
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    ranges = ranges.withColumn("old", F.max(F.when(F.col("mark").isNotNull(), F.struct("mark.turn", (F.col("mark.place") + F.col("before") - 1).alias("place")))).over(earlier)).withColumn("last", F.max("last").over(earlier))
+    turns = turns.withColumn("new", F.max(mark).over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(ranges.select("conv", "range", "before", "last", "old"), ["conv", "range"])
+    new = F.when(F.col("new").isNotNull(), F.struct("new.turn", (F.col("new.place") + F.col("before") - 1).alias("place")))
+    turns = turns.select("conv", "turn", "target", (F.col("before") + F.col("place") - 1).alias("place"), F.coalesce("lag", "last").alias("previous"), F.coalesce(new, F.col("old")).alias("anchor"))
+    if facts is None:
+        return turns.select("conv", "turn", "previous", F.col("place").alias("depth"), F.col("place").alias("position"))
+
+    turns = s.write(turns, "turns")
+    depths = _anchor_depths(s, turns).select("conv", F.col("turn").alias("at"), "steps")
+    at = F.col("anchor.turn")
+    deep = turns.withColumn("at", at).join(depths, ["conv", "at"], "left")
+    deep = deep.select("conv", "turn", "previous", (F.col("place") - F.coalesce("anchor.place", F.lit(0)) + F.coalesce("steps", F.lit(0))).alias("depth"))
+    sorted_ = s.write(numbered(s, s.write(deep, "depths"), "conv", "depth", "turn"), "numbered")
+    least = s.write(sorted_.groupBy("conv").agg(F.min("n").alias("least")), "least")  # written first, so that a long conversation can be split
+    return sorted_.join(least, "conv").select("conv", "turn", "previous", "depth", (F.col("n") - F.col("least")).alias("position"))
+
+
+def _anchor_depths(s: Scratch, turns: DataFrame) -> DataFrame:
+    """conv, turn, steps: the depth of every turn that answers a quote. Its target lies some default steps below the target's
+    own anchor, or below the first turn; steps are doubled until no anchor has another before it."""
+    to = turns.select("conv", F.col("turn").alias("target"), F.col("place").alias("of"), F.col("anchor").alias("onto"))
+    now = turns.filter("target is not null").select("conv", "turn", "target").join(to, ["conv", "target"])
+    now = s.write(now.select("conv", "turn", F.col("onto.turn").alias("next"), (1 + F.col("of") - F.coalesce("onto.place", F.lit(0))).alias("steps")), "steps")
+    while not now.filter("next is not null").isEmpty():
+        ahead = now.select("conv", F.col("turn").alias("next"), F.col("next").alias("then"), F.col("steps").alias("more"))
+        before, now = now, s.write(now.join(ahead, ["conv", "next"], "left").select("conv", "turn", F.col("then").alias("next"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "steps")
+        s.drop(before)
+    return now
+
+
+def replies(messages: DataFrame) -> DataFrame:
+    """A table of conversations with quotes, made of one without: whole, nested, partial and repeated quotes of earlier turns."""
+    first = messages.groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    ago = lambda k: first.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("said").alias(f"ago{k}"))
+    out = messages.join(ago(1), ["conv_id", "turn"], "left").join(ago(2), ["conv_id", "turn"], "left").join(ago(3), ["conv_id", "turn"], "left")
+    return out.select("conv_id", "turn", "role", F.expr(_REPLY).alias("text"))
+
+
+_QUOTED = lambda x, mark: f"'{mark}' || replace({x}, chr(10), chr(10) || '{mark}') || chr(10)"
+_SENTENCE = lambda x: f"split_part(split_part({x}, chr(10), 1), '.', 1) || '.' || chr(10)"
+#: The text of a reply, in SQL that several engines read alike.
+_REPLY = f"""coalesce(CASE WHEN turn % 5 = 1 THEN '> ' || {_SENTENCE("ago1")} || chr(10) || text WHEN turn % 5 = 2 THEN 'someone wrote:' || chr(10) || {_QUOTED("ago2", ">> ")} || {_QUOTED("upper(ago1)", "> ")} || text
+  WHEN turn % 5 = 3 THEN {_QUOTED("ago3", "> ")} || chr(10) || '> ' || {_SENTENCE("ago2")} || text WHEN turn % 5 = 4 THEN {_QUOTED("ago2", "> ")} || chr(10) || {_QUOTED("ago2", "> ")} || 'and so on' || chr(10) || '> nobody ever wrote this' END, text)"""
+#: DuckDB twin of `replies`.
+REPLIES = f"""SELECT c.conv_id, c.turn, c.role, {_REPLY} AS text FROM conversations c
+  LEFT JOIN (SELECT conv_id, turn + 1 AS at, min(text) AS ago1 FROM conversations GROUP BY ALL) x ON x.conv_id = c.conv_id AND x.at = c.turn
+  LEFT JOIN (SELECT conv_id, turn + 2 AS at, min(text) AS ago2 FROM conversations GROUP BY ALL) y ON y.conv_id = c.conv_id AND y.at = c.turn
+  LEFT JOIN (SELECT conv_id, turn + 3 AS at, min(text) AS ago3 FROM conversations GROUP BY ALL) z ON z.conv_id = c.conv_id AND z.at = c.turn"""
+
+
+def oracle(table: str = "SELECT conv_id, turn, role, text FROM conversations") -> str:
+    """DuckDB twin of `linked` for conversations whose texts hold no carriage returns."""
+    return rf"""
+WITH RECURSIVE src AS (SELECT *, row_number() OVER () AS rid FROM ({table})),
+l AS (SELECT c.*, u.line, u.i FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS ls FROM src) c, LATERAL (SELECT unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i) u),
 p AS (SELECT rid, conv_id, turn, i, length(regexp_replace(regexp_extract(line, '^([ \t>]*>)', 1), '[^>]', '', 'g')) AS level, regexp_replace(line, '^(?:[ \t>]*>)?[ \t]?', '') AS body FROM l),
 f AS (SELECT *, lag(level) OVER w AS prior, lag(body) OVER w AS above, lead(level) OVER w AS below FROM p WINDOW w AS (PARTITION BY rid ORDER BY i)),
 s AS (SELECT *, sum(CASE WHEN trim(body) <> '' AND (prior IS NULL OR prior <> level OR trim(above) = '') THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM f),
-g AS (SELECT rid, conv_id, turn, run, arg_min(level, i) AS level, md5(trim(regexp_replace(lower(string_agg(body, ' ' ORDER BY i)), '\s+', ' ', 'g'))) AS hash FROM s WHERE run > 0 GROUP BY rid, conv_id, turn, run),
-o AS (SELECT conv_id, hash, min(turn) AS original FROM g WHERE level = 0 GROUP BY conv_id, hash),
-q AS (SELECT g.rid, g.level, CASE WHEN o.original < g.turn THEN o.original END AS original FROM g LEFT JOIN o USING (conv_id, hash) WHERE level > 0),
+g AS (SELECT rid, conv_id, turn, run, arg_min(level, i) AS level, trim(regexp_replace(lower(string_agg(body, ' ' ORDER BY i)), '\s+', ' ', 'g')) AS whole, list(trim(regexp_replace(lower(body), '\s+', ' ', 'g')) ORDER BY i) AS ls FROM s WHERE run > 0 GROUP BY rid, conv_id, turn, run),
+h AS (SELECT *, list_filter(list_concat(ls, string_split(regexp_replace(whole, '([.!?]) ', '\1' || chr(10), 'g'), chr(10))), lambda x: len(string_split(x, ' ')) >= {PART}) AS parts FROM g),
+o AS (SELECT conv_id, unit, min(turn) AS first FROM (SELECT conv_id, turn, unnest(list_concat([whole], parts)) AS unit FROM h WHERE level = 0) GROUP BY conv_id, unit),
+a AS (SELECT rid, run, conv_id, turn, level, unnest(list_concat([whole], parts)) AS unit, unnest(list_concat([true], list_transform(parts, lambda x: false))) AS is_whole FROM h WHERE level > 0),
+q AS (SELECT a.rid, a.run, any_value(a.level) AS level, coalesce(max(first) FILTER (WHERE is_whole), max(first)) AS original FROM a LEFT JOIN o ON o.conv_id = a.conv_id AND o.unit = a.unit AND o.first < a.turn GROUP BY a.rid, a.run),
 n AS (SELECT rid, count(*) AS n_quotes, count(original) AS n_linked, arg_max(original, (-level) * 1000000 + original) AS original FROM q GROUP BY rid),
-t AS (SELECT conv_id, turn, row_number() OVER w - 1 AS position, lag(turn) OVER w AS previous FROM (SELECT DISTINCT conv_id, turn FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+t AS (SELECT conv_id, turn, lag(turn) OVER w AS previous FROM (SELECT DISTINCT conv_id, turn FROM src) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT t.conv_id, t.turn, coalesce(max(n.original), any_value(t.previous)) AS parent FROM t JOIN src ON src.conv_id = t.conv_id AND src.turn = t.turn LEFT JOIN n USING (rid) GROUP BY t.conv_id, t.turn),
+d(conv_id, turn, depth) AS (SELECT conv_id, turn, 0 FROM r WHERE parent IS NULL UNION ALL SELECT r.conv_id, r.turn, d.depth + 1 FROM r JOIN d ON r.conv_id = d.conv_id AND r.parent = d.turn),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY depth, turn) - 1 AS position FROM d),
 k AS (SELECT rid, trim(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE level = 0 AND NOT (coalesce(below, 0) > 0 AND rtrim(body) LIKE '% wrote:')), chr(10)) AS clean FROM f GROUP BY rid)
-SELECT c.conv_id, c.turn, c.role, t.position::BIGINT AS position, coalesce(n.original, t.previous)::BIGINT AS reply_to,
+SELECT c.conv_id, c.turn, c.role, e.position::BIGINT AS position, e.depth::BIGINT AS depth, coalesce(n.original, t.previous)::BIGINT AS reply_to,
   coalesce(n.n_quotes, 0)::BIGINT AS n_quotes, coalesce(n.n_linked, 0)::BIGINT AS n_linked, coalesce(k.clean, '') AS text
-FROM (SELECT *, row_number() OVER () AS rid FROM conversations) c LEFT JOIN n USING (rid) LEFT JOIN k USING (rid) LEFT JOIN t ON t.conv_id = c.conv_id AND t.turn = c.turn
+FROM src c LEFT JOIN n USING (rid) LEFT JOIN k USING (rid) LEFT JOIN t ON t.conv_id = c.conv_id AND t.turn = c.turn LEFT JOIN e ON e.conv_id = c.conv_id AND e.turn = c.turn
 """

@@ -204,5 +204,5 @@ def test_pipeline_equals_its_operators(spark):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(queries.queries())

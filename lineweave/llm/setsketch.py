@@ -303,11 +303,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, k: int = 5, id_col: str =
     s = Scratch(spark, "one")
     row = fresh(docs, "row")
     rows = s.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = s.write(near_duplicates(spark, rows.select(row, text_col), k, id_col=row, text_col=text_col).select(F.col(row).alias("at"), F.col("component_id").alias("group")), "found")
-    shared = found.filter("at <> group").select("group").distinct()
-    members = found.join(shared, "group", "left_semi").join(rows.select(F.col(row).alias("at"), F.col(id_col).alias("id")), "at")
-    best = members.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("best"))
-    drop = s.write(members.join(best, "group").filter(F.col("at") != F.col("best.at")).select(F.col("at").alias("of")), "drop")
+    found = near_duplicates(spark, rows.select(row, text_col), k, id_col=row, text_col=text_col).select(F.col(row).alias("at"), F.col("component_id").alias("group"))
+    named = s.write(found.join(rows.select(F.col(row).alias("at"), F.col(id_col).alias("id")), "at"), "named")
+    best = named.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("best"))
+    best = s.write(best.filter("n > 1").select("group", F.col("best.at").alias("stays")), "best")  # written first, so that a large group can be split
+    drop = s.write(named.join(best, "group").filter("at <> stays").select(F.col("at").alias("of")), "drop")
     s.keep(rows, drop)
     return rows.join(drop, rows[row] == drop["of"], "left_anti").drop(row)
 

@@ -566,6 +566,20 @@ def streaming_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+@query(f"{TEXTS} SELECT gid, count, text FROM tx")
+def streaming_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR4: a stream whose micro-batches are folded one by one; here all lines come in one of them."""
+    from lineweave.streaming.fold import fold_batches
+
+    s = Scratch(spark, "stream")
+    lines = s.write(shapes.group_log(spark, sf_dir), "lines")
+    out = f"{s.path}/out"
+    stream = spark.readStream.schema(lines.schema).parquet(lines._scratch_path)  # noqa: SLF001
+    write = fold_batches(stream, lambda texts, batch_id: texts.select("gid", "count", "text").write.mode("overwrite").parquet(f"{out}/batch={batch_id}"))
+    write.option("checkpointLocation", f"{s.path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("gid", "count", "text")
+
+
 @query(f"{GROUPED} SELECT 'all' AS log, gid, count, template AS normalized, first_line, last_line, last_line_no AS last_no FROM gr")
 def streaming_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR1, STR3: groups of one ordered log that comes as a stream, with those that are open at its end."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import re
 import tempfile
@@ -45,16 +44,23 @@ def small_batches(spark: SparkSession):
 _folders: set[str] = set()
 
 
-def _remove(path: str) -> None:
+def _at(path: str):
+    """The file system of a path, and the path; None without a session."""
     sc = SparkContext._active_spark_context  # noqa: SLF001
-    if sc is not None and sc._jsc is not None:  # noqa: SLF001
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
+    if sc is None or sc._jsc is None:  # noqa: SLF001
+        return None
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()), p  # noqa: SLF001
+
+
+def _remove(path: str) -> None:
+    if (found := _at(path)) is not None:
+        found[0].delete(found[1], True)
 
 
 def sweep() -> None:
     """Removes the scratch folders of all plans of this process. No DataFrame that a plan returned can be read then, so a
-    long session calls it between jobs; it also runs when the process ends."""
+    long session calls it between jobs. What is left when the driver's JVM ends goes then."""
     for path in list(_folders):
         with contextlib.suppress(Exception):
             _remove(path)
@@ -71,9 +77,6 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/lineweave-{name}-{uuid.uuid4().hex}"
         self.n, self.paths = 0, []
-        if not _folders:
-            atexit.unregister(sweep)
-            atexit.register(sweep)  # after Spark's own hooks, so that it runs before them
         _folders.add(self.path)
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -81,6 +84,8 @@ class Scratch:
         path = f"{self.path}/{self.n:03d}-{name}"
         with small_batches(self.spark):
             df.write.option("compression", "zstd").parquet(path)
+        if self.n == 1 and (found := _at(self.path)) is not None:
+            found[0].deleteOnExit(found[1])
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # noqa: SLF001
         self.paths.append(path)

@@ -32,7 +32,7 @@ def score_column(a: Column, b: Column) -> Column:
 
 
 #: Pairs of one vectorised step, and the ratio of lengths within a bucket.
-STEP, SPREAD = 1 << 17, 1.15
+STEP, SPREAD = 1 << 16, 1.15
 
 _LOW, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
 
@@ -60,25 +60,63 @@ def bucketed(templates: list[bytes]) -> list[Bucket]:
     return [Bucket(np.array(p, np.int64), [templates[i] for i in p]) for _, p in sorted(places.items())]
 
 
-def _similar(x: Bucket, rows: slice, y: Bucket, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of some of x and all of y that are similar."""
-    a, b = x.sizes[rows, None], y.sizes[None, :]
-    longer, shorter = np.maximum(a, b), np.minimum(a, b)
-    ratio = shorter / np.maximum(longer, 1)
+def _most(low: int, high: int, threshold: int) -> np.ndarray:
+    """The most different bytes that templates may have whose longer one has low, low + 1, .., high bytes."""
+    longer = np.arange(low, high + 1)
     need = threshold * longer // 100
     for _ in range(2):  # the least number of equal bytes whose score, as it is rounded, reaches the threshold
         need += (need / np.maximum(longer, 1) * 100 < threshold) & (longer > 0)
-    most = np.where((ratio < SHORT) & (longer > 0), -1, longer - need)
-    count = np.zeros(most.shape, np.int32)
+    return (longer - need).astype(np.int32)
+
+
+def _add_different(count: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Adds how many of the eight bytes of each pair of words differ."""
+    d = a ^ b
+    e = d & _LOW
+    e += _LOW
+    e |= d
+    e &= _HIGH  # the high bit of every byte that is not zero
+    count += np.bitwise_count(e)
+
+
+def _similar(x: Bucket, rows: slice, y: Bucket, threshold: int, most_of: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of some of x and all of y that are similar; most_of has the most different bytes for lengths from low.
+
+    All pairs are compared word by word until few are left that can still be similar, and then those alone. Bytes that
+    only the longer one has are counted in advance while both go on, and as they come from there on."""
+    a, b = x.sizes[rows], y.sizes
+    longer = np.maximum(a[:, None], b[None, :])
+    beyond = (2 * longer - a[:, None] - b[None, :]).astype(np.int32)
+    most = most_of[longer - low]
+    both = int(min(a.min(), b.min())) // 8
+    by_length = None
+    if min(a.min(), b.min()) < SHORT * max(a.max(), b.max()):
+        ratio = (longer - beyond) / np.maximum(longer, 1)
+        short = (ratio < SHORT) & (longer > 0)
+        most[short] = -1
+        by_length = np.nonzero(short & (ratio * 100 >= threshold))
     none = np.zeros(1, np.uint64)
+    count = beyond.copy()
+    i = j = None
     for k in range(max(len(x.words), len(y.words))):
         p = x.words[k, rows] if k < len(x.words) else none
         q = y.words[k] if k < len(y.words) else none
-        d = p[:, None] ^ q[None, :]
-        count += np.bitwise_count((((d & _LOW) + _LOW) | d) & _HIGH)  # the high bit of every byte that is not zero
-        if k % 4 == 3 and (count > most).all():
-            break
-    return np.nonzero((count <= most) | (ratio < SHORT) & (longer > 0) & (ratio * 100 >= threshold))
+        if k == both:
+            count -= beyond
+        if i is None:
+            _add_different(count, p[:, None], q[None, :])
+        else:
+            _add_different(count, p[i] if len(p) > 1 else p, q[j] if len(q) > 1 else q)
+        if k % 2:
+            left = count <= most
+            if np.count_nonzero(left) * 8 < left.size:
+                i, j = np.nonzero(left) if i is None else (i[left], j[left])
+                count, most, beyond = count[left], most[left], beyond[left]
+                if not len(i):
+                    break
+    left = count <= most
+    i, j = np.nonzero(left) if i is None else (i[left], j[left])
+    return (i, j) if by_length is None else (np.r_[i, by_length[0]], np.r_[j, by_length[1]])
 
 
 def similar_pairs(a: list[Bucket], b: list[Bucket], threshold: int):
@@ -88,9 +126,11 @@ def similar_pairs(a: list[Bucket], b: list[Bucket], threshold: int):
             low, high = max(x.sizes.min(), y.sizes.min()), min(x.sizes.max(), y.sizes.max())
             if low and high / low * 100 < threshold:
                 continue
+            least = int(min(x.sizes.min(), y.sizes.min()))
+            most_of = _most(least, int(max(x.sizes.max(), y.sizes.max())), threshold)
             step = max(1, STEP // len(y.places))
             for lo in range(0, len(x.places), step):
-                i, j = _similar(x, slice(lo, lo + step), y, threshold)
+                i, j = _similar(x, slice(lo, lo + step), y, threshold, most_of, least)
                 yield x.places[lo + i], y.places[j]
 
 
@@ -101,6 +141,10 @@ class Leaders:
         self.ords, self.threshold = np.array(ords, np.int64), threshold
         self.buckets = bucketed(templates)
 
+    @property
+    def nbytes(self) -> int:
+        return sum(b.words.nbytes + b.sizes.nbytes + b.places.nbytes for b in self.buckets)
+
     def first(self, ords: np.ndarray, templates: list[bytes]) -> np.ndarray:
         """Index of the first leader, not later than the template itself, that is similar to each template; or -1."""
         none = len(self.ords)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lineweave.config import FoldConfig, parse_detectors, parse_format, parse_size
 from lineweave.functions.normalize import normalizer
 from lineweave.operators import clustering, views
-from lineweave.operators.similarity import Leaders, first_fit, score
+from lineweave.operators.similarity import Leaders, bucketed, first_fit, score, similar_pairs
 from lineweave.plans import render
 from lineweave.plans.fold import Fold, analyze
 from lineweave.plans.scratch import Scratch, numbered
@@ -188,11 +188,13 @@ def brute_first_fit(templates, threshold):
     return out
 
 
-@pytest.mark.parametrize("threshold", [40, 60, 75, 85, 100])
-def test_clusters_are_first_fit(spark, monkeypatch, threshold):
+@pytest.mark.parametrize("threshold, ranged, held", [(40, 1000, 1 << 20), (60, 30, 1 << 20), (75, 1000, 1), (85, 30, 1), (85, 20, 1 << 20), (100, 30, 1500)])
+def test_clusters_are_first_fit(spark, monkeypatch, threshold, ranged, held):
     rng = random.Random(threshold)
     templates = list(dict.fromkeys("".join(rng.choice("ab") for _ in range(rng.randint(1, 12))) for _ in range(120)))
     monkeypatch.setattr(clustering, "BLOCK", 13)
+    monkeypatch.setattr(clustering, "RANGE", ranged)
+    monkeypatch.setattr(clustering, "HELD_BYTES", held)
     found = spark.createDataFrame([(t, i, i, 1) for i, t in enumerate(templates)], "normalized string, ord long, last long, n long")
     got = {r.ord: r.gid for r in clustering.clusters(spark, Scratch(spark, "t"), found, threshold).collect()}
     assert [got[i] for i in range(len(templates))] == brute_first_fit(templates, threshold)
@@ -205,6 +207,27 @@ def test_similarity_is_symmetric_and_complete(a, b):
     assert (Leaders([0], [x], 75).first(__import__("numpy").array([1]), [y])[0] == 0) == (score(x, y) >= 75)
 
 
+def test_clusters_of_nothing(spark):
+    found = spark.createDataFrame([], "normalized string, ord long, last long, n long")
+    assert clustering.clusters(spark, Scratch(spark, "t"), found, 75).collect() == []
+
+
+@pytest.mark.parametrize("threshold", [0, 50, 70, 75, 90, 100])
+def test_similar_pairs_of_long_templates(threshold):
+    """Many words, lengths on both sides of a word's end, bytes of zero, and the ends of longer templates."""
+    rng = random.Random(threshold)
+    base = [bytes(rng.choice(b"abcdefgh\0") for _ in range(n)) for n in (0, 7, 8, 9, 64, 150, 300)]
+    every = []
+    for _ in range(250):
+        t = bytearray(rng.choice(base))
+        for _ in range(rng.randint(0, len(t) // 3)):
+            t[rng.randrange(len(t))] = rng.choice(b"ab\0")
+        every.append(bytes(t[: rng.randint(len(t) * 3 // 4, len(t))]) + b"a" * rng.choice([0, 0, 1, 9]))
+    buckets = bucketed(every)
+    found = [(int(i), int(j)) for a, b in similar_pairs(buckets, buckets, threshold) for i, j in zip(a, b)]
+    assert sorted(found) == [(i, j) for i in range(250) for j in range(250) if score(every[i], every[j]) >= threshold]
+
+
 @settings(max_examples=50)
 @given(st.lists(st.text("abc", min_size=0, max_size=8), max_size=12, unique=True), st.integers(0, 100))
 def test_first_fit_leaders(templates, threshold):

@@ -50,10 +50,15 @@ def groups(lines: DataFrame, min_collapse: int) -> DataFrame:
     return ends.select("gid", "count", first.alias("first"), last.alias("last"), F.when(F.col("count") < min_collapse, F.col("members")).alias("members"))
 
 
+def place(line_no: str, pos: str) -> Column:
+    """line_no * 2**31 + pos, exactly: one number, because the least of structs is found by sorting, not by hashing."""
+    return F.col(line_no).cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col(pos).cast("decimal(10,0)")
+
+
 def token_rows(lines: DataFrame, *keep: str) -> DataFrame:
     """gid, type, value and at, the place of every token in the order of lines and of tokens within them."""
     rows = lines.select("gid", *keep, "line_no", F.posexplode("tokens").alias("pos", "token"))
-    return rows.select("gid", *keep, "token.type", "token.value", F.struct("line_no", "pos").alias("at"))
+    return rows.select("gid", *keep, "token.type", "token.value", place("line_no", "pos").alias("at"))
 
 
 def rollup(lines: DataFrame, min_collapse: int, cap: int = DISTINCT_CAP, k: int = SAMPLES) -> DataFrame:

@@ -2,12 +2,10 @@
 
 A pass draws random directions, concatenates the signs of a vector's projections into a code, sorts the vectors of a
 label lexicographically by code, and compares each vector with the neighbours in a window behind it. Passes with
-other directions bring other neighbours together; verified pairs of all passes are united into components. Runs of
-the order that share a code prefix and are denser than a window are then completed: vectors of one run that are still
-in different components are compared, block against block. A label that is small, or so dense that its runs would cost
-more than all of its pairs, is one run as a whole, and loses no link. A last step counts every vector's links inside
-its component, block against block, so that a component of near copies larger than a window loses no link and lists no
-pairs.
+other directions bring other neighbours together; verified pairs of all passes are united into components. An exact
+check follows: vectors of one label that are still in different components are compared, block against block, however
+many there are, so that no link is lost. A last step counts every vector's links inside its component, block against
+block, so that a component of near copies larger than a window loses no link and lists no pairs.
 
 Defined cases: vectors whose label is null, and vectors that are null, zero, or hold null or non-finite components,
 link with nothing (n_links 0, component_id their own id, kept); vectors of different lengths link with nothing;
@@ -29,10 +27,9 @@ LEAST = 0.98
 PASSES, SIGNS, WINDOW = 16, 48, 24
 #: Vectors of one block.
 BLOCK = 1024
-#: Vectors of a label up to which it is one run. Beyond, a run shares log2(vectors) - 4 signs, so that runs of evenly
-#: spread vectors fit in a window, but at most PREFIX. Two vectors at 0.98 share a sign with probability 0.936, so 16
-#: signs in one pass of 16 with probability 0.9989, and 12 with 0.9999, however dense their surroundings are.
-WHOLE, PREFIX = 16 * BLOCK, 16
+#: Vectors of a label up to which its blocks have BLOCK vectors. Beyond, they grow with the label, so that a vector is
+#: sent to some 16 meetings, while their components fit in ROOM (32 MB); the links found are the same.
+WHOLE, ROOM = 16 * BLOCK, 1 << 22
 SEED = 7919
 
 
@@ -134,12 +131,19 @@ def _block_links(least: float):
     def run(table: pa.Table) -> pa.Table:
         left, comp = table.column("left").to_numpy(), table.column("c").to_numpy()
         x = _unit(_matrix(table.column("vec").combine_chunks()))
+        # Products of unit vectors in single precision err by less than what is taken off, and rule out most pairs.
+        rough, bound = x.astype(np.float32), np.float32(least - (x.shape[1] + 4) * 2.0**-23)
         xs = np.flatnonzero(left)
         ys = np.flatnonzero(~left) if not left.all() else xs
         found = np.zeros((2, 0), np.int64)
         for lo in range(0, len(xs), BLOCK):
-            for at in range(0, len(ys), BLOCK):
+            for at in range(lo if ys is xs else 0, len(ys), BLOCK):
                 i, j = xs[lo : lo + BLOCK], ys[at : at + BLOCK]
+                near = rough[i] @ rough[j].T >= bound
+                if not near.any():
+                    continue
+                near &= comp[i][:, None] != comp[j]
+                i, j = i[near.any(1)], j[near.any(0)]
                 a, b = np.nonzero(_hits(x[i], x[j], least) & (comp[i][:, None] != comp[j]))
                 if a.size:
                     found = _spanning(np.concatenate([found, np.stack([comp[i[a]], comp[j[b]]])], 1))
@@ -167,36 +171,26 @@ def _count_links(least: float):
     return run
 
 
-def _completed(s: Scratch, good: DataFrame, coded: DataFrame, comps: DataFrame, least: float, signs: int, window: int) -> DataFrame:
-    """Links (a, b) between the components of vectors that share a run denser than a window."""
-    group = ["pass", "label", "dim", "run"]
-    bits = F.greatest(F.lit(0), F.least(F.lit(min(PREFIX, signs)), F.floor(F.log2("n")).cast("int") - 4))
-    labels = s.write(good.groupBy("label", "dim").agg(F.count("*").alias("n")).filter("n > 1").withColumn("bits", bits), "labels")
-    whole, large = labels.filter(F.col("n") <= WHOLE), labels.filter(F.col("n") > WHOLE)
-    parts = []
-    if not large.isEmpty():
-        keyed = s.write(coded.select("pass", "label", "dim", "code", "id").join(large, ["label", "dim"]).select("pass", "label", "dim", F.expr(f"shiftrightunsigned(code, {signs} - bits)").alias("run"), "id"), "keyed")
-        dense = s.write(keyed.groupBy(*group).agg(F.count("*").alias("m")).filter(F.col("m") > window + 1), "dense")
-        cost = dense.groupBy("label", "dim").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("cost"))
-        crowded = s.write(large.join(cost, ["label", "dim"]).filter(F.col("cost") >= F.col("n").cast("double") * F.col("n")).select("label", "dim"), "crowded")
-        whole = whole.select("label", "dim").union(crowded)
-        parts = [keyed.join(dense.join(crowded, ["label", "dim"], "left_anti"), group).select(*group, "id")]
-    parts.append(good.join(whole.select("label", "dim"), ["label", "dim"]).select(F.lit(-1).alias("pass"), "label", "dim", F.lit(0).cast("long").alias("run"), "id"))
-    members = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
-    marked = members.distinct().join(comps, F.col("id") == F.col("node"), "left").select(F.xxhash64(*group).alias("g"), "label", "dim", "id", F.coalesce("component", "id").alias("c"))
+def _completed(s: Scratch, good: DataFrame, comps: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between the components of each label's vectors of one length: all that the windows did not find."""
+    group = ["label", "dim"]
+    marked = good.select(*group, "id").distinct().join(comps, F.col("id") == F.col("node"), "left").select(*group, "id", F.coalesce("component", "id").alias("c"))
     marked = s.write(marked, "marked")
 
-    # A component of BLOCK vectors or more of a run has its own blocks, which do not meet each other; smaller ones share.
-    sizes = s.write(marked.groupBy("g", "c").agg(F.count("*").alias("size")), "shares")
-    own = F.col("size") >= BLOCK
-    shared = sizes.groupBy("g").agg(F.sum(F.when(~own, F.col("size"))).alias("rest"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
-    key = F.when(own, F.xxhash64(F.col("c"), F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)))).otherwise(F.xxhash64(F.lit("shared"), F.pmod(F.xxhash64("c"), F.ceil(F.col("rest") / BLOCK))))
-    blocked = s.write(marked.join(sizes, ["g", "c"]).join(shared, "g").select("g", "label", "dim", "id", "c", key.alias("block"), F.when(own, F.col("c")).alias("big")), "blocked")
-    names = blocked.groupBy("g", "block").agg(F.min("big").alias("big"))
-    x, y = (names.select("g", F.col("block").alias(f"block{p}"), F.col("big").alias(f"big{p}")) for p in "xy")
-    meets = x.join(y, "g").filter((F.col("blockx") <= F.col("blocky")) & ~(F.col("bigx").isNotNull() & F.col("bigx").eqNullSafe(F.col("bigy"))))
-    ends = meets.select(F.xxhash64("g", "blockx", "blocky").alias("meet"), "g", F.explode(F.array_distinct(F.array("blockx", "blocky"))).alias("block"), "blockx")
-    met = good.join(blocked, ["id", "label", "dim"]).join(ends, ["g", "block"]).select("meet", (F.col("block") == F.col("blockx")).alias("left"), "c", "vec")
+    # A component that fills a block has its own blocks, which do not meet each other; smaller ones share.
+    sizes = s.write(marked.groupBy(*group, "c").agg(F.count("*").alias("size")), "shares")
+    grown = F.lit(BLOCK) * F.ceil(F.col("n") / max(WHOLE, BLOCK))
+    each = F.least(grown, F.greatest(F.lit(BLOCK), F.floor(F.lit(ROOM) / F.col("dim"))))
+    labels = sizes.groupBy(*group).agg(F.sum("size").alias("n"), F.count("*").alias("comps")).filter("comps > 1").select(*group, each.alias("each"))
+    sizes = s.write(sizes.join(labels, group).withColumn("own", F.col("size") >= F.col("each")), "owned")
+    shared = sizes.filter("not own").groupBy(*group).agg(F.sum("size").alias("rest"))
+    key = F.when(F.col("own"), F.xxhash64(F.col("c"), F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / F.col("each"))))).otherwise(F.xxhash64(F.lit("shared"), F.pmod(F.xxhash64("c"), F.ceil(F.col("rest") / F.col("each")))))
+    blocked = s.write(marked.join(sizes.join(shared, group, "left"), [*group, "c"]).select(*group, "id", "c", key.alias("block"), F.when(F.col("own"), F.col("c")).alias("big")), "blocked")
+    names = s.write(blocked.groupBy(*group, "block").agg(F.min("big").alias("big")), "names")
+    x, y = (names.select(*group, F.col("block").alias(f"block{p}"), F.col("big").alias(f"big{p}")) for p in "xy")
+    meets = x.join(y, group).filter((F.col("blockx") <= F.col("blocky")) & ~(F.col("bigx").isNotNull() & F.col("bigx").eqNullSafe(F.col("bigy"))))
+    ends = meets.select(F.xxhash64(*group, "blockx", "blocky").alias("meet"), *group, F.explode(F.array_distinct(F.array("blockx", "blocky"))).alias("block"), "blockx")
+    met = good.join(blocked, [*group, "id"]).join(ends, [*group, "block"]).select("meet", (F.col("block") == F.col("blockx")).alias("left"), "c", "vec")
     return s.write(met.groupBy("meet").applyInArrow(_block_links(least), "a long, b long"), "completed")
 
 
@@ -204,8 +198,8 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = LEAST,
     """One row per input row: <id_col>, n_links, component_id, kept.
 
     Sorting is a range partitioning by (pass, label, length, code), so a label with a third of all rows spreads over
-    a third of the partitions; a window does not cross the border of two partitions, where other passes serve. A
-    window yields spanning links only: one row for each vector at most, in a dense cluster too.
+    a third of the partitions; a window does not cross the border of two partitions, where other passes and the exact
+    check serve. A window yields spanning links only: one row for each vector at most, in a dense cluster too.
     """
     s = Scratch(spark, "vectors")
     v = F.col("vec")
@@ -218,7 +212,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, least: float = LEAST,
     order = ["pass", "label", "dim", "code", "id"]
     links = s.write(coded.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(window, least), "a long, b long").distinct(), "links")
     comps = components(s, links)
-    more = _completed(s, good, coded, comps, least, signs, window)
+    more = _completed(s, good, comps, least)
     if not more.isEmpty():
         comps = components(s, links.union(more))
     named = comps.union(comps.select(F.col("component").alias("node"), "component")).distinct()

@@ -165,6 +165,25 @@ def test_near_vectors_of_a_dense_topic(spark, monkeypatch, whole):
     assert sum(n > 0 for n, _ in got.values()) > 50
 
 
+def test_near_vectors_loses_no_link_of_a_large_label(spark, monkeypatch):
+    # One pass with a window of one neighbour finds few of the links; what is returned does not depend on it, nor on
+    # whether the label is larger than WHOLE, nor on how much room a block has.
+    monkeypatch.setattr(projection, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.standard_normal((1200, 64)))
+    near = unit(base[:200] + 0.19 * unit(rng.standard_normal((200, 64))))
+    rows = [(i, [float(v) for v in np.float32(x)], 0) for i, x in enumerate(np.r_[base, near])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    wanted = brute_vectors(rows)
+    assert sum(n > 0 for n, _ in wanted.values()) == 400
+    for whole, room in ((16 * 64, 1 << 22), (0, 1 << 22), (0, 1)):
+        monkeypatch.setattr(projection, "WHOLE", whole)
+        monkeypatch.setattr(projection, "ROOM", room, raising=False)
+        got = projection.near_vectors(spark, frame, passes=1, window=1).collect()
+        assert {r.vec_id: (r.n_links, r.component_id) for r in got} == wanted
+
+
 def test_near_vectors_odd_rows(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert projection.near_vectors(spark, spark.createDataFrame([], schema)).collect() == []

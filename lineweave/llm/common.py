@@ -82,6 +82,15 @@ def run_hashes(words: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.nda
     return mix(out)
 
 
+def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k words from each position that has as many."""
+    n = max(0, len(words) - k + 1)
+    acc = words[:n] * _PLACES[0]
+    for j in range(1, k):
+        acc += words[j : n + j] * _PLACES[j]
+    return mix(acc)
+
+
 class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of a slice of texts (with bare, ASCII punctuation parts words too), as hashes, byte
     ranges and document numbers."""
@@ -114,10 +123,7 @@ class Words:
         out = np.zeros(n, dtype=np.uint64)
         ok = np.zeros(n, dtype=bool)
         if n >= k:
-            acc = self.hash[: n - k + 1] * _PLACES[0]
-            for j in range(1, k):
-                acc += self.hash[j : n - k + 1 + j] * _PLACES[j]
-            out[: n - k + 1] = mix(acc)
+            out[: n - k + 1] = gram_hashes(self.hash, k)
             ok[: n - k + 1] = self.doc[: n - k + 1] == self.doc[k - 1 :]
         return out, ok
 

@@ -9,7 +9,9 @@ document with one anchor (at most W - K + 1 of them). All pieces of an anchor ar
 2. anchors that occur once are dropped; where all pieces of an anchor are equal, all its windows repeat;
 3. of the other anchors, the distinct pieces, each once with its count, become a generalised suffix automaton that the
    same pieces are streamed through: a window repeats if its state has two or more occurrences;
-4. a shard of more than SHARD distinct pieces is split by window instead, exactly, and counted by aggregation.
+4. a shard of more than SHARD distinct pieces is divided into smaller ones: windows that hold the anchor at places of one
+   range are a part of a piece, and share a core, longer the shorter the range; equal windows are in parts of equal
+   cores. All parts of a core are one shard, for which 2 to 4 hold in turn, up to ranges of one place.
 
 The named method broadcasts the automata. Here every document is reference and query at once, which has no size
 bound, so shards travel by shuffle to the pieces that they can match, and nothing is broadcast but checked lists of
@@ -32,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, fresh, only_ids, repeats, run_hashes, text_slices
+from .common import Scratch, Words, fresh, gram_hashes, mix, only_ids, repeats, run_hashes, text_slices
 
 W = 35
 K = 8
-#: Distinct pieces of one shard: 24,000 words, some 20 MB of automaton, at most.
+#: Distinct pieces, or parts of pieces, of one shard: 24,000 words, some 20 MB of automaton, at most.
 SHARD = 512
 
 #: What tells rows apart: two hashes of id and text.
@@ -206,6 +208,45 @@ def _cut(window: int):
     return run
 
 
+PARTS = "anchor long, piece long, times long, lo int, place int, core long, part long, words array<long>"
+
+
+def _divide(window: int, k: int, width: int):
+    """Pieces, or parts of wider ranges with the anchor's place in them, to parts: the windows that hold the anchor at
+    places of one range of `width`. `core` hashes the words that all windows of the range share, `part` the part's words;
+    `lo` is the part's first window, and `place` the anchor's place in the part."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, STEP):
+                rows = batch.slice(at, STEP)
+                lists = rows.column("words")
+                offsets = lists.offsets.to_numpy().astype(np.int64)
+                offsets = offsets - offsets[0]
+                words, size = lists.flatten().to_numpy().view(np.uint64), np.diff(offsets)
+                if "place" in rows.schema.names:
+                    place = rows.column("place").to_numpy().astype(np.int64)
+                else:
+                    hits = np.flatnonzero(gram_hashes(words, k) == np.repeat(rows.column("anchor").to_numpy().view(np.uint64), size)[: len(words) - k + 1])
+                    place = hits[np.searchsorted(hits, offsets[:-1])] - offsets[:-1]
+                least = place - (size - window)  # the anchor's place in the last window
+                n = place // width - least // width + 1
+                row = np.repeat(np.arange(len(n)), n)
+                span = (place // width)[row] - (np.arange(len(row)) - (np.cumsum(n) - n)[row])
+                lo = place[row] - np.minimum(place[row], span * width + width - 1)
+                last = place[row] - np.maximum(least[row], span * width)
+                start, length = offsets[row] + lo, last - lo + window
+                core = mix(run_hashes(words, offsets[row] + place[row] - span * width, np.full(len(row), window - width + 1)) ^ mix(span.astype(np.uint64)))
+                part = run_hashes(mix(words ^ np.uint64(0xA0761D6478BD642F)), start, length)
+                ends = np.cumsum(length)
+                held = words[np.repeat(start - (ends - length), length) + np.arange(ends[-1])]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(held.view(np.int64)))
+                old = [rows.column(c).take(pa.array(row)) for c in ("anchor", "piece", "times")]
+                yield pa.RecordBatch.from_arrays([*old, pa.array(lo, pa.int32()), pa.array(place[row] - lo, pa.int32()), pa.array(core.view(np.int64)), pa.array(part.view(np.int64)), lists], ["anchor", "piece", "times", "lo", "place", "core", "part", "words"])
+
+    return run
+
+
 def _match(window: int):
     """Rows sorted by anchor: one automaton for each anchor; the mask has a bit for each repeated window of a piece."""
 
@@ -262,7 +303,27 @@ def _remove(window: int):
     return run
 
 
-def _repeated(s: Scratch, texts_of: Callable[[DataFrame], DataFrame], scanned: DataFrame, window: int) -> DataFrame:
+def _masks(s: Scratch, words: DataFrame, window: int, k: int, width: int) -> DataFrame:
+    """(anchor, piece, mask) from the distinct pieces of shards, whose windows hold the anchor at `width` places."""
+    large = s.write(words.groupBy("anchor").count().filter((F.col("count") > SHARD) & F.lit(width > 1)).select("anchor"), "large")
+    shards = words.join(large, "anchor", "left_anti").select("anchor", "piece", "times", "words").repartition("anchor").sortWithinPartitions("anchor")
+    masks = shards.mapInArrow(_match(window), "anchor long, piece long, mask long")
+    if large.isEmpty():
+        return masks
+    width = -(-width // 4)
+    parts = s.write(words.join(large, "anchor", "left_semi").mapInArrow(_divide(window, k, width), PARTS), "parts")
+    cores = parts.groupBy("core").agg(F.sum("times").alias("n"), F.min("part").alias("least"), F.max("part").alias("most")).filter("n > 1").select("core", (F.col("least") == F.col("most")).alias("one"))
+    cores = s.write(cores, "cores")  # written first, like the anchors
+    met = s.write(parts.join(cores, "core"), "parts_met")
+    unlike = met.filter(~F.col("one"))
+    distinct = unlike.groupBy(F.col("core").alias("anchor"), F.col("part").alias("piece")).agg(F.sum("times").alias("times"), F.first("place").alias("place"), F.first("words").alias("words"))
+    within = s.write(_masks(s, s.write(distinct, "parts_distinct"), window, k, width).filter("mask <> 0"), "masks")
+    found = met.filter("one").select("anchor", "piece", "lo", F.expr(f"shiftleft(1L, size(words) - {window - 1}) - 1").alias("mask"))
+    found = found.unionByName(unlike.join(within.select(F.col("anchor").alias("core"), F.col("piece").alias("part"), "mask"), ["core", "part"]).select("anchor", "piece", "lo", "mask"))
+    return masks.unionByName(found.groupBy("anchor", "piece").agg(F.bit_or(F.expr("shiftleft(mask, lo)")).alias("mask")))
+
+
+def _repeated(s: Scratch, texts_of: Callable[[DataFrame], DataFrame], scanned: DataFrame, window: int, k: int) -> DataFrame:
     """(key, spans): the repeated windows of each document that has any, as (at, mask)."""
     every = scanned.select("key", F.explode("pieces").alias("p")).select("key", "p.*")
     anchors = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("piece").alias("lo"), F.max("piece").alias("hi")).filter("n > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("one"))
@@ -275,15 +336,7 @@ def _repeated(s: Scratch, texts_of: Callable[[DataFrame], DataFrame], scanned: D
     places = distinct.groupBy("key").agg(F.collect_list(F.struct("anchor", "piece", "times", F.shiftright("place", 6).alias("at"), F.pmod("place", F.lit(64)).alias("windows"))).alias("places"))
     texts = texts_of(distinct.select("key").distinct())
     words = s.write(texts.join(places, "key").mapInArrow(_cut(window), "anchor long, piece long, times long, words array<long>"), "words")
-    large = s.write(words.groupBy("anchor").count().filter(F.col("count") > SHARD).select("anchor"), "large")
-    shards = words.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
-    masks = shards.mapInArrow(_match(window), "anchor long, piece long, mask long")
-    if not large.isEmpty():
-        # Too large for one automaton: the windows themselves are counted.
-        by_window = words.join(large, "anchor", "left_semi").select("anchor", "piece", "times", F.posexplode(F.expr(f"transform(sequence(1, size(words) - {window - 1}), i -> slice(words, i, {window}))")).alias("i", "run"))
-        by_window = s.write(by_window.select("anchor", "piece", "times", "i", F.xxhash64("run").alias("w1"), F.xxhash64(F.lit(1), "run").alias("w2")), "windows")
-        twice = by_window.groupBy("anchor", "w1", "w2").agg(F.sum("times").alias("all")).filter(F.col("all") > 1).drop("all")
-        masks = masks.unionByName(by_window.join(twice, ["anchor", "w1", "w2"]).groupBy("anchor", "piece").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask")))
+    masks = _masks(s, words, window, k, window - k + 1)
     masks = masks.filter("mask <> 0")
     spans = met.filter("one").select("key", "at", (F.expr("shiftleft(1L, windows) - 1")).alias("mask"))
     spans = spans.unionByName(unlike.join(masks, ["anchor", "piece"]).select("key", "at", "mask"))
@@ -313,7 +366,7 @@ def _parts(spark: SparkSession, docs: DataFrame, window: int, k: int, id_col: st
         found = only_ids(rows, keys, "key")
         return found.dropDuplicates(["key"]) if twice else found
 
-    spans = s.write(_repeated(s, texts_of, scanned, window), "spans")
+    spans = s.write(_repeated(s, texts_of, scanned, window, k), "spans")
     texts = texts_of(spans.select("key"))
     cut = texts.join(spans, "key").mapInArrow(_remove(window), f"key {KEY}, n_removed long, kept string")
     s.keep(scanned, spans)

@@ -220,6 +220,33 @@ def test_remove_repeats(spark, monkeypatch, window, k, shard):
     assert all((r.kept is None) == (r.n_removed == 0) for r in got)
 
 
+@pytest.mark.parametrize(("window", "k", "shard"), [(35, 8, 8), (35, 8, 1), (13, 4, 2)])
+def test_remove_repeats_among_many_near_copies(spark, monkeypatch, window, k, shard):
+    # Every copy has words of its own, so the pieces of an anchor are many and unlike: no step may list their windows.
+    monkeypatch.setattr(substrings, "SHARD", shard)
+    made, write = {}, substrings.Scratch.write
+
+    def counted(self, df, name="t"):
+        out = write(self, df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(substrings.Scratch, "write", counted)
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 300)}" for _ in range(150)]
+    texts = []
+    for i in range(60):
+        copy = list(base)
+        for at in rng.sample(range(150), 3):
+            copy[at] = rng.choice([f"own{i}", "a", "b"])
+        texts.append(" ".join(copy[rng.randint(0, 9) :]))
+    texts += texts[:2] + [" ".join(base)] * 2
+    got = substrings.remove_repeats(spark, table(spark, texts), window, k).collect()
+    assert [(r.n_words, r.n_removed, r.kept_sha256) for r in sorted(got, key=lambda r: r.doc_id)] == brute_repeats(texts, window)
+    assert len(made["large"]) > 1 or "windows" in made
+    assert all(n <= 4 * made["words"][0] for name in made if name not in ("scanned", "met") for n in made[name])
+
+
 def test_remove_repeats_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(40))
     docs = table(spark, [long, long, None, long + " x", "y"], [1, 1, None, 2, None])

@@ -187,3 +187,38 @@ def test_time_grows_with_distinct_values(kind):
         return best
 
     assert took(4000) < 8 * took(1000) + 0.02
+
+
+RECIPE_LINES = [
+    "2024-0{}-1{} 0{}:3{}:2{} [info] words here from 10.{}{}{}.{}.{} as u{}@corp.org took {}{}.{}ms",
+    "10.0.{}.{}{}{} and 10.0.{}.{}{}{} at {}{}{}.{}.1.2",
+    "status {}{}{} of 2{}0{}-01-0{} 10:1{}:00 and {}{}{} KB",
+    "host{}:{}{}{}{} pid={} id={} [{}] ({}) x{} y{}{} /v{}/thing",
+    "{}{}:0{}:1{} at 1{}{}{}{}{}{}{}{}{}{} and a{}",
+    "max_{}=10.{}{}{}.1.{} web-a{}{}{}{} \"{}0.{}s\" 0x{}{}",
+    "Mar 1{} 10:{}{}:1{} order {}{}{}{} of {} {} took {}{}m{}s <IP> {}",
+    "order {} of {} and {}",
+    "{}{}/{}{}/2024 10:00:00 a {}{}{}{}{}{}{}{}{}{}{}{}{}",
+]
+
+
+@pytest.mark.parametrize("form", RECIPE_LINES)
+def test_recipes_change_nothing(form):
+    """Lines with the same mask come again and again; each must be done as if it were the only one."""
+    rng = random.Random(5)
+    one = normalizer()
+    for _ in range(1500):
+        line = form.format(*(rng.choice("0123456789" if rng.random() < 0.8 else "12") for _ in range(form.count("{}"))))
+        text, notes = line, []
+        for stage in normalize.stages(FoldConfig()):
+            text, found = stage.run(text)
+            notes += found
+        assert one(line) == (text, notes)
+
+
+def test_recipes_are_used(monkeypatch):
+    one = normalizer()
+    lines = [f"2024-01-01 10:00:{k:02} [info] job took {k}.5ms as u{k}@corp.org" for k in range(10, 60)]
+    want = [one(line) for line in lines]
+    monkeypatch.setattr(timestamps, "find", None)  # no stage runs any more
+    assert [one(line) for line in lines] == want

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lineweave.config import FoldConfig, parse_detectors, parse_format, parse_size
-from lineweave.functions.normalize import normalizer
+from lineweave.functions.normalize import normalizer, spread
 from lineweave.operators import clustering, views
 from lineweave.operators.similarity import Leaders, bucketed, first_fit, score, similar_pairs
 from lineweave.plans import render
@@ -242,6 +242,20 @@ def test_normalize_any_line(line):
     assert isinstance(template, str) and all(isinstance(v, str) for _, v in notes)
 
 
+def test_lines_of_one_row_group_are_dealt_out(spark, tmp_path):
+    """A scan of one large row group has partitions enough, but all lines are in one of them."""
+    spark.range(200_000).selectExpr("id AS line_no", "md5(cast(id AS string)) AS line").coalesce(1).write.parquet(f"{tmp_path}/t")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        rows = spark.read.parquet(f"{tmp_path}/t")
+        assert rows.rdd.getNumPartitions() > 4
+        sizes = [r["count"] for r in spread(rows).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(sizes) >= 4 and max(sizes) < 60_000
+
+
 def test_numbered(spark):
     rows = numbered(Scratch(spark, "t"), spark.range(0, 1000, 1, 7).selectExpr("id * 7919 % 1000 AS v"), "v").collect()
     assert sorted((r.v, r.n) for r in rows) == [(i, i) for i in range(1000)]

@@ -2,7 +2,9 @@
 
 import io
 import os
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from lineweave.config import FoldConfig
 from lineweave.functions import detectors as d
 from lineweave.functions import native
 from lineweave.operators import lines as ln
+from lineweave.operators.similarity import score
 from lineweave.sources import lines as src
 from lineweave.streaming import fold as streaming
 
@@ -78,6 +81,58 @@ def test_open_groups_evict(monkeypatch):
     assert gone[1] == "b" * 12
 
 
+def brute_open_groups(templates, config, most, distance):
+    """Line by line: every open group in order, and the first that may go when too many are open."""
+    rows, out = [], []
+    for n, t in enumerate(templates, 1):
+        row = next((r for r in rows if score(r[1].encode(), t.encode()) >= config.threshold), None)
+        if row is None:
+            rows.append(row := [n, t, 0, f"line {n}", None, n, n])
+        row[2:3], row[4:6] = [row[2] + 1], [f"line {n}", n]
+        if len(rows) > most and (gone := next((r for r in rows if r[2] >= config.min_collapse or n - r[6] > distance), None)):
+            rows.remove(gone)
+            out.append(gone)
+    return out, rows
+
+
+@pytest.mark.parametrize("threshold", [0, 50, 69, 75, 100])
+def test_open_groups_by_steps(monkeypatch, threshold):
+    monkeypatch.setattr(streaming, "FRESH", 7)
+    monkeypatch.setattr(streaming, "STEP", 40)
+    monkeypatch.setattr(streaming, "KNOWN", 50)
+    rng, config = random.Random(threshold), FoldConfig(threshold=threshold)
+    for most in (3, 25):
+        monkeypatch.setattr(streaming, "MAX_OPEN", most)
+        templates = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(900)]
+        groups = streaming.OpenGroups(config)
+        out = list(groups.add_all(list(range(1, 901)), templates, lambda n: f"line {n + 1}"))
+        assert (out, list(groups.rows.values())) == brute_open_groups(templates, config, most, streaming.SAFE_DISTANCE)
+
+
+def test_open_groups_look_up_known_templates(monkeypatch):
+    """A log of few templates is compared by them, not by its lines."""
+    calls, pairs = [], streaming.similar_pairs
+    monkeypatch.setattr(streaming, "similar_pairs", lambda a, b, threshold: calls.append(sum(len(x.sizes) for x in a)) or pairs(a, b, threshold))
+    templates = [f"template {'xyz'[n % 3] * 20}" for n in range(20_000)]
+    groups = streaming.OpenGroups(FoldConfig())
+    assert not list(groups.add_all(list(range(20_000)), templates, str)) and len(groups.rows) == 3
+    assert sum(calls) < 20
+
+
+def test_spool_puts_lines_in_order(monkeypatch):
+    monkeypatch.setattr(streaming, "SPOOL_BYTES", 2000)
+    monkeypatch.setattr(streaming, "WINDOW", 70)
+    numbers = random.Random(1).sample(range(10_000), 500)
+    spool = streaming.Spool()
+    for at in range(0, 500, 60):
+        some = numbers[at : at + 60]
+        spool.add(pd.DataFrame({"line_no": some, "line": [f"l{n} é" for n in some], "normalized": [f"t{n}" for n in some]}))
+    got = [(n, t, line_at(k)) for found, texts, line_at in spool.windows() for k, (n, t) in enumerate(zip(found, texts))]
+    assert got == [(n, f"t{n}", f"l{n} é") for n in sorted(numbers)] and os.path.exists(spool.path)
+    spool.close()
+    assert not os.path.exists(spool.path)
+
+
 def test_stream_counts_equal_batch(spark, tmp_path):
     lines = src.cluster_log(spark, 300)
     lines.write.parquet(str(tmp_path / "in"))
